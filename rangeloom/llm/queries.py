@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +17,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotate(docs, quality.fit(docs, _read(spark, sf_dir, "labels"))).drop("text")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES = {
     "op7_quality": op7_quality,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
