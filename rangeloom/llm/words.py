@@ -72,11 +72,11 @@ def windows(words: np.ndarray, length: int) -> np.ndarray:
 
 
 class Words:
-    """The words of consecutive rows of a string column."""
+    """The words of consecutive rows of a string column: runs of bytes outside `gap`."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
         self.buf, self.offsets, self.rows = buf, offsets, len(offsets) - 1
-        solid = ~SPACE[buf]
+        solid = ~gap[buf]
         edge = np.zeros(len(buf) + 1, dtype=bool)
         edge[offsets] = True
         first, last = solid.copy(), solid.copy()
@@ -128,13 +128,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def slices(column: pa.Array, limit: int = CHUNK_BYTES, gap: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words), a few MB at a time, always whole rows."""
     data, at = column_bytes(column)
     a, n = 0, len(at) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(at, at[a] + limit, side="right")) - 1)
-        yield a, b, Words(data[at[a] : at[b]], at[a : b + 1] - at[a])
+        yield a, b, Words(data[at[a] : at[b]], at[a : b + 1] - at[a], gap)
         a = b
 
 
