@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, quality, substring, toxicity
+from . import licenses, lines, mixing, neardup, packing, quality, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,20 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text").dropDuplicates(["doc_id"])
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.drop_boilerplate(_read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draw(_read(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,10 +52,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op2_lines": op2_lines,
+    "op3_mixing": op3_mixing,
+    "op10_licenses": op10_licenses,
     "op4_toxicity": op4_toxicity,
     "op6_minhash": op6_minhash,
     "op7_quality": op7_quality,
     "op9_packing": op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_lines": f"""
+WITH lines AS ({lines.LINES_SQL.format(docs="documents")}), done AS ({lines.SQL})
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN done USING (doc_id)""",
+    "op3_mixing": mixing.SQL.format(docs="documents"),
+    "op10_licenses": licenses.SQL,
+}
