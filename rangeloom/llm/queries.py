@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, mixing, neardup, packing, quality, substring, toxicity
+from . import licenses, lines, mixing, neardup, packing, pages, quality, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(_read(spark, sf_dir, "pages"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op10_licenses": op10_licenses,
     "op4_toxicity": op4_toxicity,
+    "op5_pages": op5_pages,
     "op6_minhash": op6_minhash,
     "op7_quality": op7_quality,
     "op9_packing": op9_packing,
