@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, mixing, neardup, packing, pages, quality, substring, toxicity
+from . import licenses, lines, mixing, neardup, neighbours, packing, pages, quality, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotate(docs, quality.fit(docs, _read(spark, sf_dir, "labels"))).drop("text")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents")).drop("ids")
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_pages": op5_pages,
     "op6_minhash": op6_minhash,
     "op7_quality": op7_quality,
+    "op8_neighbours": op8_neighbours,
     "op9_packing": op9_packing,
 }
 
