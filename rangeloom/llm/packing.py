@@ -12,9 +12,12 @@ Repeated rows are packed once each.  An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import mix, slices
 
 WINDOW = 4096
 GROUP_BYTES = 3 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -44,14 +47,17 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Whether words that differ in ASCII case alone have the same ids.
+        self.folds = "Lowercase" in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keys = np.zeros(0, np.uint64)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
+        new = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
         at = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate([self.pool, new])
         keys = np.concatenate([self.keys, keys])
@@ -61,14 +67,15 @@ class WordTokens:
 
     def encode(self, w, closing: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a row, each row closed by `closing`; and their number in each row."""
-        hashes = w.hashes()
+        data = w.buf.tobytes()
+        fold = self.folds and not any(x in data for x in self.special)
+        hashes = w.hashes(lower=True) if fold else mix(w.hashes() + np.uint64(1))
         known, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > CACHED_WORDS:
             self.keys, self.at, self.size, self.pool = self.keys[:0], self.at[:0], self.size[:0], self.pool[:0]
         slot = np.minimum(np.searchsorted(self.keys, known), max(0, len(self.keys) - 1))
         miss = self.keys[slot] != known if len(self.keys) else np.ones(len(known), bool)
         if miss.any():
-            data = w.buf.tobytes()
             spans = zip(w.starts[first[miss]].tolist(), w.ends[first[miss]].tolist())
             self._learn(known[miss], [data[s:e].decode("utf-8", "replace") for s, e in spans])
         slot = np.searchsorted(self.keys, known)[back]
@@ -83,6 +90,12 @@ class WordTokens:
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
+@cache
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, so that its words outlive a task."""
+    return WordTokens(path)
+
+
 class Rooms:
     """Open windows by remaining room; a segment tree of counts finds the tightest fit."""
 
@@ -140,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, cl
     groups = max(1, -(-size // group_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         narrow = np.uint16 if tokens.tokenizer.get_vocab_size() <= 1 << 16 and closing < 1 << 16 else np.uint32
         for batch in batches:
             doc_id = batch.column("doc_id")

@@ -248,5 +248,6 @@ def annotate(docs: DataFrame, model, content_share: float = CONTENT_SHARE) -> Da
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the base rules and the chain accept, with their columns unchanged."""
     columns = docs.columns
-    marked = annotate(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text")), fit(docs, labels))
-    return marked.where("kept").select("row.*")
+    rest = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"])
+    marked = annotate(docs.select(rest.alias("row"), "text"), fit(docs, labels))
+    return marked.where("kept").select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in columns])

@@ -9,7 +9,9 @@ windows, so the doubling ends there, or at once when no half repeats.
 
 A word goes if a window over it holds the same words as a window that starts earlier
 (smaller doc_id, or same document and earlier start).  Windows are compared by 64-bit
-hashes of their halves' hashes; both levels must agree.
+hashes of their halves' hashes; both levels must agree.  Each level first combines what
+a slice of the table holds of a window, so that a passage in a third of all documents
+costs one row a slice; repeats inside a slice need no shuffle at all.
 
 Edge cases: null texts have no words; texts shorter than a window lose nothing.  Rows
 that repeat a doc_id are one document (they must agree in their text); rows without a
@@ -55,7 +57,16 @@ def levels(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return halves, at, least, whole
 
 
+def _by_doc(doc_id: pa.Array, row: np.ndarray) -> np.ndarray:
+    """An order of positions in which smaller documents come first and their positions keep their order."""
+    rank = np.argsort(np.argsort(doc_id.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")[row]
+    return np.argsort(rank, kind="stable")
+
+
 def _anchors(window: int):
+    """(half, doc_id, settled, again).  Settled rows are known to repeat inside this slice of the
+    table; every half of the slice leaves one row to be compared with other slices."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in slices(batch.column("text")):
@@ -65,16 +76,25 @@ def _anchors(window: int):
                     chosen[at + k] |= halves[at + k] == least
                 at = np.flatnonzero(chosen)
                 row, key = w.row[at], halves[at]
-                _, first, times = np.unique(mix(key + row.astype(np.uint64) * _ROW), return_index=True, return_counts=True)
+                _, first, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                many = np.flatnonzero(times[back] > 1)
+                _, one = np.unique(mix(key[many] + row[many].astype(np.uint64) * _ROW), return_index=True)
+                many = many[one]
+                settled = np.concatenate([np.zeros(len(first), bool), np.ones(len(many), bool)])
+                again = np.concatenate([times > 1, np.ones(len(many), bool)])
+                take = np.concatenate([first, many])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[first].view(np.int64)), batch.column("doc_id").slice(a, b - a).take(pa.array(row[first])), pa.array(times > 1)],
-                    names=["half", "doc_id", "again"],
+                    [pa.array(key[take].view(np.int64)), batch.column("doc_id").slice(a, b - a).take(pa.array(row[take])), pa.array(settled), pa.array(again)],
+                    names=["half", "doc_id", "settled", "again"],
                 )
 
     return work
 
 
 def _extend(window: int):
+    """(whole, doc_id, start, seen).  Seen windows start earlier in this slice of the table; every
+    window of the slice leaves its first place to be compared with other slices."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in slices(batch.column("text")):
@@ -87,8 +107,10 @@ def _extend(window: int):
                 slot = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
                 live = known[slot] == key if len(known) else np.zeros(len(at), bool)
                 at, whole = at[live], whole[live]
+                order = _by_doc(batch.column("doc_id").slice(a, b - a), w.row[at])
+                at, whole = at[order], whole[order]
                 row = w.row[at]
-                _, first = np.unique(mix(whole + row.astype(np.uint64) * _ROW), return_index=True)
+                _, first = np.unique(whole, return_index=True)
                 seen = np.ones(len(at), bool)
                 seen[first] = False
                 yield pa.RecordBatch.from_arrays(
@@ -145,18 +167,20 @@ def _remove(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """For each doc_id of `docs` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    halves = docs.mapInArrow(_anchors(window), "half long, doc_id long, again boolean")
-    repeated = (
-        halves.groupBy("half")
-        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("again").alias("again"))
-        .where("low <> high or again")
-        .select("half")
-    )
-    hits = halves.select("half", "doc_id").join(repeated, "half").groupBy("doc_id").agg(F.collect_list("half").alias("halves"))
-    wholes = docs.join(hits, "doc_id").select("doc_id", "text", "halves").mapInArrow(_extend(window), "whole long, doc_id long, start int, seen boolean")
-    firsts = wholes.where("not seen").groupBy("whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("whole", "low")
-    later = wholes.where("not seen").join(firsts, "whole").where("doc_id > low").select("doc_id", "start")
+    placed = docs.repartition("doc_id")  # shuffled once, read at both levels
+
+    anchors = docs.mapInArrow(_anchors(window), "half long, doc_id long, settled boolean, again boolean")
+    # what a slice of the table holds of one half was combined, so no half is hot here
+    open_halves = anchors.where("not settled").select("half", "doc_id", "again").repartition("half")
+    repeated = open_halves.groupBy("half").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("half")
+    hits = open_halves.select("half", "doc_id").join(repeated, "half").select("half", "doc_id")
+    hits = hits.union(anchors.where("settled").select("half", "doc_id")).groupBy("doc_id").agg(F.collect_set("half").alias("halves"))
+
+    wholes = placed.join(hits, "doc_id").select("doc_id", "text", "halves").mapInArrow(_extend(window), "whole long, doc_id long, start int, seen boolean")
+    open_wholes = wholes.where("not seen").select("whole", "doc_id", "start").repartition("whole")
+    firsts = open_wholes.groupBy("whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("whole", "low")
+    later = open_wholes.join(firsts, "whole").where("doc_id > low").select("doc_id", "start")
     starts = later.union(wholes.where("seen").select("doc_id", "start")).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    joined = docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts")
+    joined = placed.join(starts, "doc_id", "left").select("doc_id", "text", "starts")
     done = joined.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return done
