@@ -163,7 +163,9 @@ def _square(k: np.ndarray, f: np.ndarray, seg: Segment) -> float:
 
 def bottom_up(k: np.ndarray, f: np.ndarray, t: float | None = None, start: int = 3) -> list[Segment]:
     """Least-squares lines over triples, merged pairwise where the merge leaves the segments' mean squared
-    errors most alike, until their spread rises; with t, cheapest merges first while errors stay within t."""
+    errors most alike, until their spread rises; with t, single steps, cheapest merges first while errors
+    stay within t."""
+    start = start if t is None else 1
     segs = [_ols(k, f, i, min(len(k), i + start)) for i in range(0, len(k), start)]
     merged = lambda a, b: _ols(k, f, a[0], b[1])
     pairs = [merged(a, b) for a, b in zip(segs, segs[1:])]
@@ -200,8 +202,11 @@ def sliding_bottom_up(k: np.ndarray, f: np.ndarray, t: float, buffer: int = 60)
     while i < len(k):
         end = min(len(k), i + buffer)
         a, b, coef, centre, scale, err = bottom_up(k[i:end], f[i:end], t)[0]
-        if end < len(k):
+        if end < len(k):  # the last step ends at a key that the buffer may not have held
             err = staircase_error(k, f, i, i + b, coef, centre, scale)
+            if err > t and b > 1:
+                b -= 1
+                err = staircase_error(k, f, i, i + b, coef, centre, scale)
         out.append((i, i + b, coef, centre, scale, err))
         i += b
     return out
