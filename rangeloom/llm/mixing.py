@@ -87,10 +87,10 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is drawn, columns unchanged."""
-    drawn = draw(docs, **options).select(F.col("doc_id").alias("drawn_id"), "copies").where("copies > 0").groupBy("drawn_id").agg(F.max("copies").alias("copies"))
-    own = [docs[c] for c in docs.columns]
-    joined = docs.join(drawn, docs.doc_id == drawn.drawn_id)
-    return joined.select(*own, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_number")).drop("copy_number") if "copy_number" not in docs.columns else joined.select(*own, "copies").where("copies > 0").drop("copies")
+    drawn = draw(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"))
+    return rows.join(drawn, rows.own_id == drawn.doc_id).select("row", times.alias("time")).select("row.*")
 
 
 #: The same draw in DuckDB SQL.
