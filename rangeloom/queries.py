@@ -7,17 +7,19 @@ its promise; SQL supplies TRUE.  Query sets come from workload.py: bounds at fix
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import horner
+from . import sources, streaming
+from .functions.columns import certified, horner, leaky_forward, overlap_share, shift_unsigned
 from .operators import blocks, ensemble, exact, histogram, sampling, segments, staged, surface
 from .operators.keyspace import asof, clean, cumulative, spread
 from .operators.workload import boxes, ranges, ranges_by_selectivity
 from .plans import answers
-from .tables import keep
+from .tables import keep, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,3 +521,45 @@ def _(spark, d):
 def _(spark, d):
     y = horner(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), F.col("l_discount"), 2)
     return _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(y, 9).alias("y"))
+
+
+# ---- scalar functions, streams, sources and sinks
+
+@_query("x09_overlap_share", _PRICE + "SELECT qid, round(CASE WHEN hi > lo THEN greatest(0, least(hi, 60000) - greatest(lo, 20000)) / (hi - lo) WHEN lo <= 60000 AND hi >= 20000 THEN 1 ELSE 0 END, 9) AS share FROM q")
+def _(spark, d):
+    share = overlap_share(F.col("lo"), F.col("hi"), F.lit(20000.0), F.lit(60000.0))
+    return ranges(_price(spark, d)).select("qid", F.round(share, 9).alias("share"))
+
+
+@_query("x10_leaky_network", "SELECT o_orderkey, round(0.5 + 2 * (CASE WHEN x - 1 > 0 THEN x - 1 ELSE (x - 1) * 0.03 END) - 3 * (CASE WHEN 1 - x > 0 THEN 1 - x ELSE (1 - x) * 0.03 END), 6) AS y FROM (SELECT o_orderkey, o_totalprice / 100000 AS x FROM orders)")
+def _(spark, d):
+    x = F.col("o_totalprice") / 100000
+    y = leaky_forward(x, [(1.0, -1.0), (-1.0, 1.0)], [2.0, -3.0], 0.5)
+    return _read(spark, d, "orders").select("o_orderkey", F.round(y, 6).alias("y"))
+
+
+@_query("p02_unsigned_keys", "SELECT c_custkey, floor(c_acctbal - (SELECT min(c_acctbal) FROM customer) + 1)::BIGINT AS k FROM customer")
+def _(spark, d):
+    c = _read(spark, d, "customer")
+    least = c.agg(F.min("c_acctbal").alias("least"))
+    return c.crossJoin(F.broadcast(least)).select("c_custkey", shift_unsigned(F.col("c_acctbal"), F.col("least")).alias("k"))
+
+
+@_query("f07_certificates", _PRICE + ", c AS (" + _agg("count(l_orderkey) AS n", _OPEN) + ") SELECT qid, n > 200 AND 200.0 / (n - 200) <= 0.05 AS certified FROM c")
+def _(spark, d):
+    t = _price(spark, d)
+    found = exact.by_cumulative(ranges(t), t)
+    return found.select("qid", F.coalesce(certified(F.col("count").cast("double"), F.lit(200.0), 0.05), F.lit(False)).alias("certified"))
+
+
+@_query("st01_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def _(spark, d):
+    return streaming.windowed(_read(spark, d, "events"), "ts", "value", "1 day", "1 hour").select("start", "n", "least", "most")
+
+
+@_query("k01_round_trip", "SELECT DISTINCT l_quantity AS key, dense_rank() OVER (ORDER BY l_quantity) - 1 AS rank FROM lineitem")
+def _(spark, d):
+    t = cumulative(_read(spark, d, "lineitem"), "l_quantity").select("key", F.col("rank").cast("long").alias("rank"))
+    path = f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}"
+    sources.write(t, path, "csv")
+    return spark.read.schema("key double, rank long").option("header", True).csv(path)
