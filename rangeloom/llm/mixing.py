@@ -55,8 +55,9 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
     sources = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, share_percent, most), "sources")
     sources = sources.select(F.col("source").alias("name"), "rank", F.col("size").alias("source_size"), "target")
-    sources = F.broadcast(sources) if is_small(sources) else sources
-    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    few = is_small(sources)  # then every table with one row a source may be sent to all executors
+    per_source = lambda df: F.broadcast(df) if few else df
+    rows = sized.join(per_source(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     ratio = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
@@ -74,12 +75,11 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int
 
     # the document that closes what is left of each source best
     full = ranked.groupBy("rank").agg(F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0)).alias("got"))
-    full = full.select("rank", "got")
     miss = F.col("need") - F.col("got")
-    spare = ranked.join(full, "rank").where(~F.col("picked") & (F.col("part") > 0) & (F.abs(miss - F.col("size")) < miss))
+    spare = ranked.join(per_source(full), "rank").where(~F.col("picked") & (F.col("part") > 0) & (F.abs(miss - F.col("size")) < miss))
     last = spare.groupBy("rank").agg(F.min(F.struct(F.abs(miss - F.col("size")).alias("off"), "q", "doc_id")).alias("best"))
     last = last.select("rank", F.col("best.doc_id").alias("last_id"))
-    done = ranked.join(last, "rank", "left")
+    done = ranked.join(per_source(last), "rank", "left")
     extra = F.col("picked") | (~F.col("picked") & (F.col("part") > 0) & F.coalesce(F.col("doc_id") == F.col("last_id"), F.lit(False)))
     copies = F.col("whole") + extra.cast("long")
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     drawn = draw(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"))
-    return rows.join(drawn, rows.own_id == drawn.doc_id).select("row", times.alias("time")).select("row.*")
+    return rows.join(drawn, rows.own_id.eqNullSafe(drawn.doc_id)).select("row", times.alias("time")).select("row.*")
 
 
 #: The same draw in DuckDB SQL.
