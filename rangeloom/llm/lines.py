@@ -65,8 +65,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", threshold: int = THR
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(left)
     n_lines = F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long")
     rest = [F.col(f"row.`{c}`") for c in docs.select("row.*").columns if c not in ("text", "n_lines", "n_removed")]
-    out = marked.select(*rest, text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
+    return marked.select(*rest, text.alias("text"), n_lines.alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_removed"))
 
 
 #: The same rule in DuckDB SQL, exact counts throughout; {docs} is a documents table.
