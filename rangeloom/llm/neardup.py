@@ -11,8 +11,8 @@ bits of it as mantissa.  Four registers make one band.  Work goes round by round
    hashes agree), and what may reach the threshold is confirmed on the full sets;
 3. confirmed links are contracted to components.  In a bucket that still holds
    several components, members outside the first one are compared with all members,
-   sketch against sketch in blocks of bounded size; again only what may reach the
-   threshold is confirmed on the full sets.
+   sketch against sketch in blocks of bounded size, and what may reach the threshold is
+   confirmed on the full sets in the block; only confirmed links leave it.
 
 So a group of copies costs work in proportion to its size, and still no pair of a
 bucket goes unexamined unless its documents are already connected.  A pair at the
@@ -20,7 +20,8 @@ threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6; estimates may
 short by `SLACK` = 4.7 standard deviations before a pair is dropped.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing.
-Rows that repeat a doc_id are one document; its largest set counts.
+Rows that repeat a doc_id are one document; its largest set counts.  Rows without a
+doc_id cannot name their group and are left out.
 """
 
 from __future__ import annotations
@@ -181,24 +182,39 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one block: outsiders against members of other components."""
+    """Of one block: confirmed links of outsiders with members of other components."""
     regs = np.frombuffer(b"".join(rows.regs), np.uint16).reshape(-1, REGISTERS)
     bands = band_keys(np.ascontiguousarray(regs).view(np.uint8).ravel())
     doc, comp = rows.doc.to_numpy(), rows.component.to_numpy()
     own = int(np.flatnonzero(bands[0] == key[0])[0])  # all rows of a bucket agree in this band
     outside, inside = np.flatnonzero(rows.outside.to_numpy()), np.flatnonzero(~rows.outside.to_numpy())
-    out = []
+    data, at = column_bytes(pa.array(rows.text, pa.large_string()))
+    owner, shingle = shingles(Words(data, at))
+    order = np.lexsort((shingle, owner))
+    owner, shingle = owner[order], shingle[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1]))
+    owner, shingle = owner[new], shingle[new]
+    ends = np.searchsorted(owner, np.arange(len(rows) + 1))
+    size = np.diff(ends)
+    out: list[tuple[int, int]] = []
     for i in outside:
         j = inside[comp[inside] != comp[i]]
         j = j[likeness(regs[i], regs[j]) >= THRESHOLD_PERCENT / 100 - SLACK]
         j = j[~(bands[j, :own] == bands[i, :own]).any(1)]  # else an earlier band has the pair
-        out.append(pd.DataFrame({"a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j])}))
-    return pd.concat(out) if out else pd.DataFrame({"a": doc[:0], "b": doc[:0]})
+        if not len(j):
+            continue
+        mine = shingle[ends[i] : ends[i + 1]]
+        theirs = np.concatenate([shingle[ends[x] : ends[x + 1]] for x in j])
+        slot = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        both = np.add.reduceat(mine[slot] == theirs, np.cumsum(size[j]) - size[j])
+        linked = j[100 * both >= THRESHOLD_PERCENT * (size[i] + size[j] - both)]
+        out += [(min(doc[i], doc[x]), max(doc[i], doc[x])) for x in linked]
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """For each doc_id of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     sketches = stash(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, regs binary"), "sketches")
     filled = sketches.where("n > 0")
     classes = filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -231,9 +247,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = inside.where("component <> first").select("band", "doc", "component", own.alias("x"), every.alias("y"), F.lit(True).alias("outside"))
     right = inside.select("band", "doc", "component", every.alias("x"), own.alias("y"), F.lit(False).alias("outside"))
     right = right.join(left.select("band", "x", "y").distinct(), ["band", "x", "y"], "left_semi").select(left.columns)
-    blocks = left.union(right).join(texts.select(F.col("doc_id").alias("doc"), "regs"), "doc")
-    pairs = blocks.groupBy("band", "x", "y").applyInPandas(_across, "a long, b long").distinct()
-    more = stash(_links(pairs, texts).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    blocks = left.union(right).join(texts.select(F.col("doc_id").alias("doc"), "regs", "text"), "doc")
+    more = stash(blocks.groupBy("band", "x", "y").applyInPandas(_across, "u long, v long").distinct(), "links")
     if not more.isEmpty():
         found = components(more.union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
@@ -249,3 +264,28 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` without all but one document of each group, with their columns unchanged."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, docs.doc_id == kept.kept_id, "left_semi")
+
+
+#: The same groups in DuckDB SQL, from all pairs that share a shingle.
+SQL = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM split WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= {THRESHOLD_PERCENT} * (x.n + y.n - c)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM split
+  UNION
+  SELECT r.doc_id, l.v FROM reach r JOIN (SELECT u, v FROM links UNION ALL SELECT v, u FROM links) l ON l.u = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""

@@ -78,4 +78,6 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN done USING (doc_id)""",
     "op3_mixing": mixing.SQL.format(docs="documents"),
     "op10_licenses": licenses.SQL,
+    "op1_substring": substring.SQL,
+    "op6_minhash": neardup.SQL,
 }
