@@ -5,7 +5,7 @@ final window, the one with the least hash; equal final windows keep equal halves
 nothing that repeats is lost, and only about one position in six is shuffled.  Halves
 found once are out.  Level two extends the rest: only final windows whose kept half
 repeats are hashed, shuffled and compared.  The removal rule needs no longer
-windows, so the doubling ends there, or at once when no half repeats.
+windows; repeat_lengths() goes on doubling until no candidates survive.
 
 A word goes if a window over it holds the same words as a window that starts earlier
 (smaller doc_id, or same document and earlier start).  Windows are compared by 64-bit
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, list_array, mix, slices, windows
+from .scratch import stash
+from .words import Words, mix, slices, windows
 
 WINDOW = 20
 _ROW = np.uint64(0x9E3779B97F4A7C15)
@@ -110,17 +111,15 @@ def _extend(window: int):
                 order = _by_doc(batch.column("doc_id").slice(a, b - a), w.row[at])
                 at, whole = at[order], whole[order]
                 row = w.row[at]
-                _, first = np.unique(whole, return_index=True)
+                doc_id = batch.column("doc_id").slice(a, b - a).to_numpy(zero_copy_only=False)[row]
+                start = (at - w.first[row]).astype(np.int32)
+                _, first, group = np.unique(whole, return_index=True, return_inverse=True)
                 seen = np.ones(len(at), bool)
                 seen[first] = False
+                # the same place once more, in a repeated row, is no repeat
+                same = seen & (doc_id == doc_id[first[group]]) & (start == start[first[group]])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(whole.view(np.int64)),
-                        batch.column("doc_id").slice(a, b - a).take(pa.array(row)),
-                        pa.array((at - w.first[row]).astype(np.int32)),
-                        pa.array(seen),
-                    ],
-                    names=["whole", "doc_id", "start", "seen"],
+                    [pa.array(x[~same]) for x in (whole.view(np.int64), doc_id, start, seen)], names=["whole", "doc_id", "start", "seen"]
                 )
 
     return work
@@ -164,23 +163,71 @@ def _remove(window: int):
     return work
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each doc_id of `docs` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text."""
+def _wholes(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The documents by id, and every place of a window whose half at level one repeats."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     placed = docs.repartition("doc_id")  # shuffled once, read at both levels
 
     anchors = docs.mapInArrow(_anchors(window), "half long, doc_id long, settled boolean, again boolean")
     # what a slice of the table holds of one half was combined, so no half is hot here
     open_halves = anchors.where("not settled").select("half", "doc_id", "again").repartition("half")
-    repeated = open_halves.groupBy("half").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("half")
-    hits = open_halves.select("half", "doc_id").join(repeated, "half").select("half", "doc_id")
+    # both sides read all three columns, so that they share one shuffle
+    repeated = open_halves.groupBy("half").agg(F.count("*").alias("n"), F.max("again").alias("any"), F.min("doc_id").alias("low"))
+    repeated = repeated.where("(n > 1 or any) and low is not null").select("half", "n")
+    hits = open_halves.join(repeated, "half").where("again or n > 0").select("half", "doc_id")
     hits = hits.union(anchors.where("settled").select("half", "doc_id")).groupBy("doc_id").agg(F.collect_set("half").alias("halves"))
+    extended = placed.join(hits, "doc_id").select("doc_id", "text", "halves")
+    return placed, extended.mapInArrow(_extend(window), "whole long, doc_id long, start int, seen boolean")
 
-    wholes = placed.join(hits, "doc_id").select("doc_id", "text", "halves").mapInArrow(_extend(window), "whole long, doc_id long, start int, seen boolean")
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each doc_id of `docs` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text."""
+    placed, wholes = _wholes(docs, window)
     open_wholes = wholes.where("not seen").select("whole", "doc_id", "start").repartition("whole")
-    firsts = open_wholes.groupBy("whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("whole", "low")
+    firsts = open_wholes.groupBy("whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("start").alias("reach"))
+    firsts = firsts.where("low <> high and reach is not null").select("whole", "low")
     later = open_wholes.join(firsts, "whole").where("doc_id > low").select("doc_id", "start")
     starts = later.union(wholes.where("seen").select("doc_id", "start")).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     joined = placed.join(starts, "doc_id", "left").select("doc_id", "text", "starts")
-    done = joined.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return done
+    return joined.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+def repeat_lengths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, length) of documents that hold a repeated window: doubling goes on from `window`, a window of
+    twice the length being two that repeat side by side, until no candidates survive; length is the last
+    one at which a window of the document occurs at a second place."""
+    places = _wholes(docs, window)[1].select("doc_id", F.col("start").cast("long").alias("start"), "whole").distinct()
+    length, found = window, None
+    while True:
+        places = stash(places, "places")
+        repeated = places.groupBy("whole").count().where("count > 1").select("whole")
+        places = stash(places.join(repeated, "whole").select("doc_id", "start", "whole"), "places")
+        lasted = places.select("doc_id").distinct().withColumn("length", F.lit(length).cast("long"))
+        found = lasted if found is None else found.union(lasted)
+        if places.isEmpty():
+            return found.groupBy("doc_id").agg(F.max("length").alias("length"))
+        tails = places.select("doc_id", (F.col("start") - length).alias("start"), F.col("whole").alias("tail"))
+        places = places.join(tails, ["doc_id", "start"]).select("doc_id", "start", F.xxhash64("whole", "tail").alias("whole"))
+        length *= 2
+
+
+#: The same removal in DuckDB SQL, on whole windows.
+SQL = f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, start, array_to_string(w[start + 1 : start + {WINDOW}], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - {WINDOW - 1})) AS start FROM split WHERE len(w) >= {WINDOW})
+), later AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY g ORDER BY doc_id, start) AS n FROM places) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, start + k AS pos FROM later, range({WINDOW}) t(k)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM split
+), kept AS (
+  SELECT doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone.pos IS NULL) AS text
+  FROM words LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""

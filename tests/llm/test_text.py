@@ -349,3 +349,26 @@ def test_license_spans_survive_edits(spark):
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
     assert got[1].labels == "mit" and got[1].n_base == 0 and got[1].score >= 0.6 and got[1].spans[0].first == 1
     assert got[2].labels == "" and got[3].base_labels == "mit"
+
+
+def test_doubling_goes_on_until_nothing_repeats(docs):
+    grams = {}
+    for length in (20, 40, 80, 160):
+        for i, t, *_ in ROWS:
+            w = split(t)
+            for k in range(len(w) - length + 1):
+                grams.setdefault((length, tuple(w[k : k + length])), set()).add((i, k))
+    want = {}
+    for (length, _), places in grams.items():
+        if len(places) > 1:
+            for i, _ in places:
+                want[i] = max(want.get(i, 0), length)
+    assert {r.doc_id: r.length for r in substring.repeat_lengths(docs).collect()} == want
+
+
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "some words of a text that has no id " * 4, "s0"), (1, "other words", "s0"), (2, "third words here", None)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in neardup.near_duplicates(df).collect()} == {1, 2}
+    assert {r.doc_id for r in substring.remove_repeats(df).collect()} == {1, 2}
+    assert sum(r.taken for r in mixing.draw(df).collect()) == sum(r.n for r in mixing.mix(df).select(F.size(F.split("text", r"\s+(?=\S)")).alias("n")).collect())
+    assert lines.drop_boilerplate(df).count() == licenses.scan(df).count() == 3
