@@ -39,12 +39,15 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power(kind: str, n: int) -> np.ndarray:
-    """Powers 0..n-1 of the base or of its inverse; the table grows by doubling."""
+    """Powers 0..n-1 of the base or of its inverse, from a table that is kept as long as it is small."""
     have = _powers[kind]
-    while len(have) < n:
-        step = pow(_BASE if kind == "up" else _INVERSE, len(have), 1 << 64)
-        have = np.concatenate([have, have * _U(step)])
-    _powers[kind] = have if len(have) <= 1 << 23 else _powers[kind]
+    if len(have) < n:
+        room = -(-n // (1 << 18)) << 18
+        while len(have) < room:
+            step = pow(_BASE if kind == "up" else _INVERSE, len(have), 1 << 64)
+            have = np.concatenate([have, have * _U(step)])
+        if room <= 1 << 23:
+            _powers[kind] = have[:room].copy()
     return have[:n]
 
 
