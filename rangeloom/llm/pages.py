@@ -8,7 +8,8 @@ labels, order and ancestry.  A node of the first tree that is matched in at leas
 nodes whose text varies, and nodes without a partner, are slots.  The main text is what
 slots hold inside the article (or main element, or else the slot subtree with most
 text), less the regions that by element, role or class are navigation, header,
-footer, sidebar, notice, advert, form or reader comments.
+footer, sidebar, notice, advert, form or reader comments.  A class counts as a whole
+and never drops the article or main element or the region with most text.
 
 Edge cases: null and empty pages give an empty text; a null url is a host of its own.
 A group whose pages don't differ enough has no template, only slots.  Repeated rows
@@ -30,7 +31,8 @@ from .scratch import is_small, stash
 GROUP, SUPPORT = 32, 4
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# a whole attribute: its value is consumed with its name, so no word in a value is taken for a name
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>]+)))?")
 _RAW = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -45,27 +47,39 @@ _OUT_WORDS = frozenset(
     "sidebar side nav navbar navigation menu breadcrumb breadcrumbs comment comments commentlist respond reply replies discussion disqus share sharing social related "
     "recommended newsletter subscribe subscription signup login popup modal overlay footer masthead widget widgets pagination pager toolbar tags".split()
 )
+_READER_WORDS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+# words that say where or how a region stands, not what it holds
+_FRAME_WORDS = frozenset("area bar block box button buttons container group icons inner item items left link links list main outer panel post posts primary right row secondary section site top bottom wrap wrapper".split())
+
+
+def _names_region(name: str) -> bool:
+    """Whether a whole class or id names a region to be left out: 'share-links' does, 'comments-open' doesn't."""
+    words = [w for w in re.split(r"[-_\d]+", name) if w]
+    return not _OUT_WORDS.isdisjoint(words) and _OUT_WORDS.union(_FRAME_WORDS).issuperset(words)
 
 
 class Node:
-    """An element: label, children, and its pieces of text and children in order."""
+    """An element: label, children, and its pieces of text and children in order.
+    `out`: its region is left out; `worded`: by nothing but the words of its class and id."""
 
-    __slots__ = ("tag", "label", "out", "kids", "parts", "parent")
+    __slots__ = ("tag", "label", "out", "worded", "kids", "parts", "parent")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.kids, self.parts = tag, parent, [], []
         names: list[str] = []
         self.out = tag in _OUT_TAGS
+        self.worded = False
         if attrs.strip():
+            own: dict[str, str] = {}
             for m in _ATTR.finditer(attrs):
-                key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-                if key == "role":
-                    self.out |= value in _OUT_ROLES
-                elif key == "hidden" or key == "aria-hidden" and value == "true":
-                    self.out |= key == "hidden"
-                else:
-                    names += re.findall(r"[a-z]+", value)
-            self.out |= tag not in ("html", "body") and not _OUT_WORDS.isdisjoint(names)
+                own.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+            self.out |= "hidden" in own or not _OUT_ROLES.isdisjoint(own.get("role", "").split())
+            for key in own:
+                if key in ("class", "id"):
+                    names += re.findall(r"[a-z]+", own[key])
+                    self.worded |= any(map(_names_region, own[key].split()))
+            self.worded &= not self.out and tag not in ("html", "body", "article", "main")
+            self.out |= self.worded
         self.label = tag if not names else f"{tag}.{'.'.join(names)}"
 
 
@@ -105,9 +119,40 @@ def parse(page: str) -> Node:
         elif tag not in _VOID and not (attrs or "").rstrip().endswith("/"):
             here = node
     here.parts.append(html.unescape(page[at:]))
+    _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """Words of a class drop no region that holds the article or main element, nor, in a page
+    that has none or inside the one it has, the region that holds most of the text."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(k for k in x.kids if not k.out or k.worded)
+    if not any(x.worded for x in order):
+        return
+    marked, size = set(), {}
+    for x in reversed(order):  # children before parents
+        size[id(x)] = sum(len("".join(p.split())) if isinstance(p, str) else size.get(id(p), 0) for p in x.parts)
+        if x.tag in ("article", "main") and size[id(x)] or any(id(k) in marked for k in x.kids):
+            marked.add(id(x))
+    for x in order:
+        if x.worded and id(x) in marked:
+            x.out = x.worded = False
+    tops = _find(root, lambda x: x.tag in ("article", "main") and size.get(id(x), 0)) or [root]
+    for top in tops:
+        inside = [top]
+        while inside:
+            x = inside.pop()
+            readers = not _READER_WORDS.isdisjoint(x.label.split(".")[1:])  # often longer than the article: spared only if all there is
+            if x.worded and size[id(x)] and (size[id(x)] == size[id(top)] if readers else 2 * size[id(x)] > size[id(top)]):
+                x.out = x.worded = False
+            if not x.out:
+                inside.extend(k for k in x.kids if not k.out or k.worded)
+
+
 def text_of(node: Node, skip=lambda x: False) -> str:
     """Text with a space at every block's edges and white space folded."""
     out: list[str] = []

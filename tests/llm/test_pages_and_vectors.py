@@ -40,6 +40,22 @@ def test_unmarked_pages_and_broken_markup():
     assert pages.extract([body])[0] == ("long text here. " * 20).strip()
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow: hidden"', 'title="The hidden cost"', 'href="/posts/hidden-gems"', 'data-hidden="false"', "data-class='ad' data-role=navigation", 'class="comments-open no-sidebar"', 'class="layout-with-sidebar" id="post-tags-7-view"', 'class="widget"'])
+def test_words_in_other_attributes_and_parts_of_classes_drop_nothing(attrs):
+    assert pages.extract([f"<body><div {attrs}><article><p>All of <a {attrs.replace('widget', 'x')}>this</a> text</article></div></body>"]) == ["All of this text"]
+    assert pages.extract([f"<body><article {attrs}><p>All of this text</article></body>"]) == ["All of this text"]
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "hidden=''", "title='x' hidden", "class='x sidebar'", "class=share-links", "id=comments-section", "role=navigation", "class='ad unclosed"])
+def test_whole_attributes_and_classes_still_drop(attrs):
+    assert pages.extract([f"<body><article><p>All of this text</p><div {attrs}>no</div></article></body>"]) == ["All of this text"]
+
+
+def test_region_with_most_text_is_kept_but_not_longer_comments():
+    assert pages.extract(["<body><div class=ad>buy</div><div class='widget'><p>Most of the text of this page</p></div></body>"]) == ["Most of the text of this page"]
+    assert pages.extract(["<article><p>Short</p><section class=comments>A reader says far more than that</section></article>"]) == ["Short"]
+
+
 def test_matching_keeps_order_and_ancestry():
     a = pages.Slot([pages.parse("<div><p>1</p><ul><li>x</li></ul><h2>t</h2></div>")])
     b = pages.Slot([pages.parse("<div><h2>t</h2><p>1</p><table></table><ul><li>y</li></ul></div>")])
