@@ -1,11 +1,12 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host are dealt into groups of about `GROUP` pages.  In a group, every
-page's element tree (runs of like siblings folded into one node) is aligned with the
-first page's tree by simple tree matching: the largest set of node pairs that keeps
-labels, order and ancestry.  A node of the first tree that is matched in at least
-`SUPPORT` pages of different content and always holds the same text is template;
-nodes whose text varies, and nodes without a partner, are slots.  The main text is what
+page's element tree (runs of like siblings folded into one node) is aligned with a tree
+merged of the pages before it, by simple tree matching: the largest set of node pairs
+that keeps labels, order and ancestry.  What has no partner is added to the merged tree,
+so no page is the measure of the others.  A node of the merged tree that stands in at
+least `SUPPORT` pages of different content and always holds the same text is template;
+nodes whose text varies, and nodes of fewer pages, are slots.  The main text is what
 slots hold inside the article (or main element, or else the slot subtree with most
 text), less the regions that by element, role or class are navigation, header,
 footer, sidebar, notice, advert, form or reader comments.  A class counts as a whole
@@ -188,16 +189,50 @@ class Slot:
                 self.kids.append(Slot(run))
 
 
-def align(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
+class Merged:
+    """A node of the tree that a group's pages make together: the slots it stands for, by page."""
+
+    __slots__ = ("label", "kids", "held")
+
+    def __init__(self, slot: Slot, page: int):
+        self.label, self.held = slot.label, [(page, slot)]
+        self.kids = [Merged(k, page) for k in slot.kids]
+
+    def add(self, tree: Slot, page: int) -> None:
+        """Aligns a page's tree with this one and puts its nodes without a partner where they stand."""
+        pairs = align(self, tree)[1]
+        partner = {id(b): a for a, b in pairs}
+        for a, b in pairs:
+            a.held.append((page, b))
+            at = 0
+            for kid in b.kids:
+                if id(kid) in partner:
+                    at = next(i for i in range(at, len(a.kids)) if a.kids[i] is partner[id(kid)])
+                else:
+                    a.kids.insert(at, Merged(kid, page))
+                at += 1
+
+    def nodes(self) -> Iterator[Merged]:
+        stack = [self]
+        while stack:
+            x = stack.pop()
+            yield x
+            stack.extend(x.kids)
+
+
+def align(a: Slot | Merged, b: Slot) -> tuple[int, list[tuple[Slot | Merged, Slot]]]:
     """Simple tree matching of trees with equal root labels: its size and its pairs."""
-    m, n = len(a.kids), len(b.kids)
+    # kids whose label the other side lacks have no partner
+    left, right = {k.label for k in a.kids}, {k.label for k in b.kids}
+    mine, theirs = [k for k in a.kids if k.label in right], [k for k in b.kids if k.label in left]
+    m, n = len(mine), len(theirs)
     best = [[0] * (n + 1) for _ in range(m + 1)]
     below = {}
     for i in range(m):
         for j in range(n):
             value = max(best[i][j + 1], best[i + 1][j])
-            if a.kids[i].label == b.kids[j].label:
-                below[i, j] = align(a.kids[i], b.kids[j])
+            if mine[i].label == theirs[j].label:
+                below[i, j] = align(mine[i], theirs[j])
                 value = max(value, best[i][j] + below[i, j][0])
             best[i + 1][j + 1] = value
     pairs, i, j = [(a, b)], m, n
@@ -243,22 +278,27 @@ def main_text(root: Node, template: set[int]) -> str:
     return text_of(here, skip)
 
 
+def induce(roots: list[Node], plain: list[str]) -> set[int]:
+    """The template nodes (by id) of pages that share a host; `plain` are their texts without a template."""
+    merged: Merged | None = None
+    for page, root in enumerate(roots):
+        if merged is None:
+            merged = Merged(Slot([root]), page)
+        else:
+            merged.add(Slot([root]), page)
+    template: set[int] = set()
+    for x in merged.nodes() if merged else ():
+        held = [(page, slot) for page, slot in x.held if not slot.kids]
+        if len({plain[page] for page, _ in held}) >= SUPPORT and len({" ".join(text_of(n) for n in slot.nodes) for _, slot in x.held}) == 1:
+            template.update(id(n) for _, slot in x.held for n in slot.nodes)
+    return template
+
+
 def extract(pages: list[str]) -> list[str]:
     """Main texts of pages that share a host."""
     roots = [parse(p) for p in pages]
-    trees = [Slot([r]) for r in roots]
-    held: dict[int, list] = {}
-    own = lambda slot: " ".join(text_of(n) for n in slot.nodes)
-    for tree in trees:
-        for a, b in align(trees[0], tree)[1]:
-            if not a.kids:
-                held.setdefault(id(a), []).append(b)
-    template: set[int] = set()
-    plain = [main_text(r, template) for r in roots]
-    if len(set(plain)) >= SUPPORT:
-        for slots in held.values():
-            if len(slots) >= SUPPORT and len({own(s) for s in slots}) == 1:
-                template.update(id(n) for s in slots for n in s.nodes)
+    plain = [main_text(r, set()) for r in roots]
+    template = induce(roots, plain) if len(set(plain)) >= SUPPORT else set()
     return [main_text(r, template) or p for r, p in zip(roots, plain)] if template else plain
 
 

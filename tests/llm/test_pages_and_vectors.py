@@ -56,6 +56,26 @@ def test_region_with_most_text_is_kept_but_not_longer_comments():
     assert pages.extract(["<article><p>Short</p><section class=comments>A reader says far more than that</section></article>"]) == ["Short"]
 
 
+@pytest.mark.parametrize("first", ["", "plain text", "<body><main><p>Another layout</p></main></body>", "<body><div id=top><b>x</b></div><article><p>No letter here</p></article></body>"])
+def test_template_does_not_hang_on_the_first_page(first):
+    got = pages.extract([first, *site(8, "article"), first])
+    assert got[1:9] == [f"Story {i} First bold & plain! {i} next line Second {i}" for i in range(8)]
+    assert got[0] == got[9] == pages.extract([first])[0]
+
+
+def test_two_layouts_of_a_host_each_have_their_template():
+    other = [f"<body><main><h2>Note {i}</h2><p>Body {i}</p><div class=box>Always the same</div></main></body>" for i in range(5)]
+    mixed = [p for pair in zip(site(5, "article"), other) for p in pair]
+    got = pages.extract(mixed)
+    assert got[0::2] == [f"Story {i} First bold & plain! {i} next line Second {i}" for i in range(5)]
+    assert got[1::2] == [f"Note {i} Body {i}" for i in range(5)]
+
+
+def test_copies_of_one_layout_among_other_pages_are_no_template():
+    copy = "<body><main><h2>Title</h2><p>The only text</p></main></body>"
+    assert pages.extract([*site(6, "article"), *[copy] * 6])[6:] == ["Title The only text"] * 6
+
+
 def test_matching_keeps_order_and_ancestry():
     a = pages.Slot([pages.parse("<div><p>1</p><ul><li>x</li></ul><h2>t</h2></div>")])
     b = pages.Slot([pages.parse("<div><h2>t</h2><p>1</p><table></table><ul><li>y</li></ul></div>")])
