@@ -5,12 +5,15 @@ what is above is shared again among the others (one pass over the sources in ord
 size per weight finds where the sharing ends).  A source whose target is r times its
 size takes every document floor(r) times for certain.  The remaining part f of a
 further copy is a Pareto order sample: with u uniform by a hash of the id, documents
-rank by odds(u) / odds(f), and the first ones are taken whole as long as they fit what is
-left of the target; one more document, whose size comes nearest to the last gap,
-closes it.  The sample's size is thus fixed in words.
+rank by odds(u) / odds(f) and are taken whole in that order, those that don't fit what
+is left of the target passed over; one more document, whose size comes nearest to the
+last gap, closes it.  The sample's size is thus fixed in words.
 
 Ranks need no sort of a whole source: documents fall into `BINS` bins of u, bins are
-summed and accumulated, and only inside a bin is there an order.
+summed and accumulated, and only inside a bin is there an order.  A pass takes documents
+up to the first one that doesn't fit; the next pass goes on behind it with what still
+fits.  Passes end for a source when the closing document leaves less than the smallest
+document that would fit, and the pass that comes nearest to the target counts.
 
 Edge cases: a null source is a source of its own, ordered last.  Null and empty texts
 have size 0 and take 0 words.  Rows that repeat a doc_id are drawn alike.  Only
@@ -19,6 +22,9 @@ DataFrame functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
 def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: str = SEED) -> DataFrame:
     """For each row of `docs` (doc_id, source, text): doc_id, source, size, source_size, target, copies, taken."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    sized = stash(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
     sources = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, share_percent, most), "sources")
     sources = sources.select(F.col("source").alias("name"), "rank", F.col("size").alias("source_size"), "target")
     few = is_small(sources)  # then every table with one row a source may be sent to all executors
@@ -62,27 +68,62 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
     rows = rows.withColumn("u", (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52)
-    rows = rows.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
     rows = rows.withColumn("q", F.when(F.col("part") > 0, odds)).withColumn("bin", F.floor(F.col("u") * BINS))
+    rows = rows.drop("u").withColumn("pass", F.lit(None).cast("int"))
+
+    needs = sources.select("rank", (F.col("target") - F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))) * F.col("source_size")).alias("gap"))
+    gone, closings, number = [rows.where(F.col("part") <= 0)], [], 0
+    rows = rows.where(F.col("part") > 0)
+    while True:
+        ranked = stash(_pass(rows, needs, per_source, number), "pass")
+        offers = stash(_closings(ranked, needs, per_source, number), "closing")
+        closings.append(offers)
+        again = offers.where("not done").select("rank", F.col("miss").alias("gap"))
+        # what is taken, and what can neither be taken nor close a gap any more, takes part in no later pass
+        left = ranked.join(per_source(again.select("rank", "gap")), "rank", "left")
+        stays = F.coalesce(F.col("pass").isNull() & (F.col("size") < 2 * F.col("gap")), F.lit(False))
+        gone.append(left.where(~stays).drop("gap"))
+        if again.isEmpty():
+            break
+        rows, needs, number = left.where(stays).drop("gap"), again, number + 1
+
+    every = reduce(DataFrame.unionByName, closings)
+    best = every.groupBy("rank").agg(F.min(F.struct("off", "number", "last_id")).alias("best"))
+    best = best.select("rank", F.col("best.number").alias("number"), F.col("best.last_id").alias("last_id"))
+    done = reduce(DataFrame.unionByName, gone).join(per_source(best), "rank", "left")
+    picked = F.coalesce(F.col("pass") <= F.col("number"), F.lit(False))
+    extra = picked | (~picked & (F.col("part") > 0) & F.coalesce(F.col("doc_id") == F.col("last_id"), F.lit(False)))
+    copies = F.col("whole") + extra.cast("long")
+    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
-    bins = rows.groupBy("rank", "bin").agg(F.sum("size").alias("held"))
+
+def _pass(rows: DataFrame, needs: DataFrame, per_source: Callable[[DataFrame], DataFrame], number: int) -> DataFrame:
+    """`rows` with `pass` = number where a document is taken: in rank order up to the first one that
+    doesn't fit, documents larger than the whole gap passed over."""
+    rows = rows.join(per_source(needs), "rank").withColumn("fit", F.when(F.col("size") <= F.col("gap"), F.col("size")))
+    bins = rows.groupBy("rank", "bin").agg(F.sum("fit").alias("held"))
     before = F.coalesce(F.sum("held").over(W.partitionBy("rank").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bins = bins.select("rank", "bin", before.alias("before"))
     inside = W.partitionBy("rank", "bin").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    ranked = rows.join(bins, ["rank", "bin"]).withColumn("reach", F.col("before") + F.sum("size").over(inside))
-    ranked = ranked.withColumn("picked", (F.col("part") > 0) & (F.col("reach") <= F.col("need")))
-
-    # the document that closes what is left of each source best
-    full = ranked.groupBy("rank").agg(F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0)).alias("got"))
-    miss = F.col("need") - F.col("got")
-    spare = ranked.join(per_source(full), "rank").where(~F.col("picked") & (F.col("part") > 0) & (F.abs(miss - F.col("size")) < miss))
-    last = spare.groupBy("rank").agg(F.min(F.struct(F.abs(miss - F.col("size")).alias("off"), "q", "doc_id")).alias("best"))
-    last = last.select("rank", F.col("best.doc_id").alias("last_id"))
-    done = ranked.join(per_source(last), "rank", "left")
-    extra = F.col("picked") | (~F.col("picked") & (F.col("part") > 0) & F.coalesce(F.col("doc_id") == F.col("last_id"), F.lit(False)))
-    copies = F.col("whole") + extra.cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    reach = F.col("before") + F.sum("fit").over(inside)
+    ranked = rows.join(bins, ["rank", "bin"]).withColumn("reach", reach)
+    taken = F.col("fit").isNotNull() & (F.col("reach") <= F.col("gap"))
+    return ranked.withColumn("pass", F.when(taken, F.lit(number))).drop("fit", "before", "reach", "gap")
+
+
+def _closings(ranked: DataFrame, needs: DataFrame, per_source: Callable[[DataFrame], DataFrame], number: int) -> DataFrame:
+    """(rank, number, miss, off, last_id, done): by source what a pass leaves of the target, the document that
+    closes this best (or none), what it leaves, and whether no document would fit even that."""
+    got = ranked.groupBy("rank").agg(F.sum(F.when(F.col("pass").isNotNull(), F.col("size")).otherwise(0)).alias("got"))
+    full = needs.join(per_source(got), "rank").select("rank", (F.col("gap") - F.col("got")).alias("miss"))
+    spare = ranked.where(F.col("pass").isNull()).join(per_source(full), "rank")
+    off = F.abs(F.col("miss") - F.col("size"))
+    closes, fits = off < F.col("miss"), (F.col("size") > 0) & (F.col("size") <= F.col("miss"))
+    found = spare.groupBy("rank").agg(F.min(F.when(closes, F.struct(off.alias("off"), "q", "doc_id"))).alias("last"), F.min(F.when(fits, F.col("size"))).alias("least"))
+    found = full.join(per_source(found), "rank", "left").withColumn("off", F.coalesce("last.off", F.abs("miss")))
+    done = F.col("least").isNull() | (F.col("off") < F.col("least"))
+    return found.select("rank", F.lit(number).alias("number"), "miss", "off", F.col("last.doc_id").alias("last_id"), done.alias("done"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -197,6 +197,35 @@ def test_mixing(docs, empty):
     assert whole.columns == docs.columns and Counter(r.doc_id for r in whole.collect()) == Counter({i: n for i, n in copies.items() if n})
 
 
+def test_mixing_passes_over_documents_that_do_not_fit(spark):
+    # one long document among short ones: needs are 225,000 of 150,000 words a source, so half of each once more
+    rows = [(f"{k}-{i}", "w " * (60_000 if i == 0 else 100), str(k)) for k in range(24) for i in range(901)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.draw(df, weights=(1,)).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(target) == 24 and all(abs(taken[s] - target[s]) <= 100 for s in target)
+
+
+def test_mixing_takes_the_documents_a_walk_in_rank_order_takes(spark):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.choice([7, 11, 90, 800, 3000]), "a") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.draw(df).collect()}
+    u = {i: (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in got}
+    total = sum(r.size for r in got.values())
+    gap, walk, states = total / 2, set(), []
+    for i in sorted(u, key=u.get):
+        if got[i].size <= gap:
+            gap -= got[i].size
+            walk.add(i)
+        else:
+            spare = [(abs(gap - got[j].size), j) for j in got if j not in walk and abs(gap - got[j].size) < gap]
+            states.append(min([x[0] for x in spare], default=gap))
+    assert abs(sum(r.taken for r in got.values()) - 1.5 * total) <= min([gap, *states])
+
+
 def test_sources_at_their_limit_hand_on_the_rest(spark):
     df = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(df).collect()}
