@@ -4,7 +4,10 @@ All rolling word k-grams of every text are joined by hash with the positions of
 same k-grams in license templates (words compared again, so no hash decides).  Each
 match votes for the diagonal text position - template position.  Votes are summed by
 (document, template, diagonal), diagonals at most `DRIFT` words apart are merged, and a
-span counts if it covers enough of its template.  A phrase of k words is a template
+span counts if it covers enough of its template, if it has the same of the words that
+tell sibling licenses apart (`TELLING`) as its template, and if no span of another label
+covers its own template better at the same place.  `score` is the best share of any
+span, whether it counts or not.  A phrase of k words is a template
 with a single k-gram: each of its diagonals is a place.
 
 Words are runs of a-z, 0-9 and anything beyond ASCII, after A-Z are lower-cased.  Only
@@ -18,10 +21,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import is_small, stash
+
 LONG, SHORT = 4, 2
 DRIFT = 3
 COVERED = 0.6
@@ -49,6 +54,8 @@ TEMPLATES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "licensed under cc by nc 4 0": "cc-by-nc",
 }
+#: Words that make another license of a notice that has them.
+TELLING = frozenset("lesser library affero sharealike noncommercial noderivatives noderivs nc nd sa".split())
 
 _SPLIT = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,10 +113,31 @@ def matches(docs: DataFrame, phrases: dict[str, str], templates: dict[str, str])
     )
 
 
+def _telling(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(marked_id, marks): the `TELLING` words of the documents `wanted` (marked_id), with their positions."""
+    if is_small(wanted):
+        some = docs.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("marked_id")), "left_semi")
+    else:  # texts aren't shuffled: all that have such a word are looked at
+        some = docs.where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(sorted(TELLING))})(?![a-z0-9])"))
+    text = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
+    at = some.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).alias("pos", "word")).where(F.col("word").isin(sorted(TELLING)))
+    return at.groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_set(F.struct("pos", "word")).alias("marks"))
+
+
+def _best(spans: Column) -> Column:
+    """Of an array of spans, those that no better one of another label stands on."""
+    order = lambda a, b: F.when((a.share > b.share) | (a.share == b.share) & (a['len'] > b['len']), -1).when((a.share == b.share) & (a['len'] == b['len']), 0).otherwise(1)
+    common = lambda a, b: F.least(a.end, b.end) - F.greatest(a['first'], b['first'])
+    beats = lambda k, x: (k.label != x.label) & ((k.share > x.share) | (k['len'] > x['len'])) & (2 * common(k, x) > F.least(k.end - k['first'], x.end - x['first']))
+    add = lambda kept, x: F.when(F.exists(kept, lambda k: beats(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
+    return F.aggregate(F.array_sort(spans, order), F.slice(spans, 1, 0), add)
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, covered: float = COVERED) -> DataFrame:
     """For each doc_id of `docs` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score, and spans: (label, first word, word behind the last, share of the template)."""
-    found = matches(docs.select("doc_id", F.col("text").cast("string").alias("text")), phrases, templates)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    found = stash(matches(docs, phrases, templates), "matches")
     base = F.coalesce(F.col("base"), F.lit(False))
     order = W.partitionBy("doc_id", "tpl").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"), F.lit(1))
@@ -121,23 +149,44 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         F.min("first").alias("first"),
         (F.max("last") + F.first("k")).alias("end"),
         F.max("last").alias("last"),
+        F.min("low").alias("low"),
+        (F.max("high") + F.first("k")).alias("high"),
     )
     merged = merged.withColumn("share", F.least(F.lit(1.0), F.col("words") / F.col("len")))
-    none = F.lit(None).cast("string")
-    plain = found.where(base | F.col("tpl").isNull()).select("doc_id", "last", base.alias("base"), "first", F.when(base, F.col("label")).alias("base_label"), F.when(base, F.col("label")).alias("any_label"), F.when(base, 1.0).alias("share"), (F.col("first") + F.col("len")).alias("end"))
-    spans = merged.select("doc_id", "last", F.lit(False).alias("base"), "first", none.alias("base_label"), F.when(F.col("share") >= covered, F.col("label")).alias("any_label"), "share", "end")
+    merged = stash(merged, "spans")
+    long_enough = stash(merged.where(F.col("share") >= covered).select(F.col("doc_id").alias("marked_id")).distinct(), "licensed")
+    marks = stash(_telling(docs, long_enough), "marks")
+    merged = merged.join(F.broadcast(marks) if is_small(marks) else marks, F.col("doc_id").eqNullSafe(F.col("marked_id")), "left")
+    # the template's words that aren't covered at its ends have their place beside the span
+    near = lambda x: (x.pos >= F.col("first") - F.col("low")) & (x.pos < F.col("end") + F.col("len") - F.col("high"))
+    own = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("marks", F.array().cast("array<struct<pos:int,word:string>>")), near), lambda x: x.word)))
+    numbered = enumerate(_SPLIT.findall(text.lower()) for text in [*phrases, *templates])
+    wanted = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n, words in numbered for x in (n, sorted(TELLING.intersection(words)))]), F.col("tpl")), F.array().cast("array<string>"))
+    merged = merged.withColumn("holds", (F.col("share") >= covered) & (own == wanted))
+    none = F.lit(None)
+    span = F.struct("label", "first", "end", "share", "len")
+    plain = found.where(base | F.col("tpl").isNull()).select("doc_id", "last", base.alias("base"), "first", F.when(base, F.col("label")).alias("base_label"), F.when(base, 1.0).alias("share"), F.when(base, F.struct("label", "first", (F.col("first") + F.col("len")).alias("end"), F.lit(1.0).alias("share"), "len")).alias("span"))
+    spans = merged.select("doc_id", "last", F.lit(False).alias("base"), "first", none.cast("string").alias("base_label"), "share", F.when(F.col("holds"), span).alias("span"))
     rows = plain.union(spans)
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return rows.groupBy("doc_id").agg(
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    out = rows.groupBy("doc_id").agg(
         F.coalesce(F.max("last") + 1, F.lit(0)).cast("long").alias("n_words"),
         F.sum(F.col("base").cast("long")).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("base"), F.col("first"))).cast("long").alias("last_word"),
-        joined("base_label").alias("base_labels"),
-        joined("any_label").alias("labels"),
+        F.collect_set("base_label").alias("base_labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_set(F.when(F.col("any_label").isNotNull(), F.struct(F.col("any_label").alias("label"), "first", "end", "share")))).alias("spans"),
+        F.collect_set(F.when(~F.col("base"), F.col("span"))).alias("wide"),
+        F.collect_set(F.when(F.col("base"), F.col("span"))).alias("phrases"),
     )
+    out = out.withColumn("kept", F.concat("phrases", _best(F.col("wide"))))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        joined(F.col("base_labels")).alias("base_labels"),
+        joined(F.array_distinct(F.transform("kept", lambda x: x.label))).alias("labels"),
+        "score",
+        F.array_sort(F.transform("kept", lambda x: F.struct(x.label.alias("label"), x['first'].alias("first"), x.end.alias("end"), x.share.alias("share")))).alias("spans"),
+    )
 
 
 #: The same scan in DuckDB SQL, without the spans.

@@ -380,6 +380,26 @@ def test_license_spans_survive_edits(spark):
     assert got[2].labels == "" and got[3].base_labels == "mit"
 
 
+def test_sibling_licenses_keep_apart(spark):
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    cases = [
+        ("this program is free software: " + gnu.format(""), "gnu general public license", "gpl"),
+        (gnu.format("Lesser "), "", "lgpl"),
+        (gnu.format("Affero "), "", ""),
+        (cc.format(""), "", "cc-by"),
+        (cc.format("-ShareAlike"), "", "cc-by-sa"),
+        (cc.format("-NonCommercial-NoDerivatives"), "", ""),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial licence", "", ""),
+        (gnu.format("Lesser ") + " and far from it, among other things, the text. " + cc.format(""), "", "cc-by,lgpl"),
+        (gnu.format("Lesser ") + " " + gnu.format("").replace("you can", "this program is free software you can"), "", "gpl,lgpl"),
+    ]
+    df = spark.createDataFrame([(i, text) for i, (text, *_) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [got[i].labels for i in range(len(cases))] == [labels for *_, labels in cases]
+    assert all({x.label for x in r.spans} == set(r.labels.split(",")) - {""} for r in got.values())
+
+
 def test_doubling_goes_on_until_nothing_repeats(docs):
     grams = {}
     for length in (20, 40, 80, 160):
