@@ -169,3 +169,11 @@ def test_overlap_of_points_and_intervals(spark):
 def test_normal_quantile():
     assert columns.normal_quantile(0.975) == pytest.approx(1.96, abs=1e-3)
     assert columns.normal_quantile(0.1) == pytest.approx(-1.2816, abs=1e-3)
+
+
+def test_equi_lookup_probes_every_key(spark, tmp_path):
+    from rangeloom.queries import QUERIES
+
+    spark.createDataFrame([(float(i % 40), 1.0) for i in range(100)], "l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["j02_equi_lookup"](spark, str(tmp_path)).select("key", "rank", "n").collect())
+    assert got == [(float(i), i, 3 if i < 20 else 2) for i in range(40)]
