@@ -2,18 +2,23 @@
 
 Sources share a budget by weight; a source's target stops at `most` times its size and
 what is above is shared again among the others (one pass over the sources in order of
-size per weight finds where the sharing ends).  A source whose target is r times its
-size takes every document floor(r) times for certain.  The remaining part f of a
-further copy is a Pareto order sample: with u uniform by a hash of the id, documents
-rank by odds(u) / odds(f) and are taken whole in that order, those that don't fit what
-is left of the target passed over; one more document, whose size comes nearest to the
-last gap, closes it.  The sample's size is thus fixed in words.
-
-Ranks need no sort of a whole source: documents fall into `BINS` bins of u, bins are
-summed and accumulated, and only inside a bin is there an order.  A pass takes documents
-up to the first one that doesn't fit; the next pass goes on behind it with what still
-fits.  Passes end for a source when the closing document leaves less than the smallest
-document that would fit, and the pass that comes nearest to the target counts.
+size per weight finds where the sharing ends).  A source whose target is r times its size
+takes every document floor(r) times for certain.  Of the words that are left, long documents
+are expected to bring less than their share, so that none carries the mix: a further copy of a
+document of n words has the inclusion probability p = min(1, level / n^(1/4)), the level being
+the one at which the expected words are those left (one pass over the source's distinct sizes
+finds it).  Where p is 1 that copy is certain, too.
+
+The other documents are a Pareto order sample: with u uniform by a hash of the id, they
+rank by odds(u) / odds(p) and are taken in that order until the source's remaining
+words are filled, so the sample's size is fixed in words.  `PASSES` times the order is gone
+through again with what still fits into the gap that the first document too long for it has
+left; one more document, the one whose size comes nearest to the last gap, closes it if that
+brings the words nearer to the target.
+
+Ranks need no sort of a whole source: documents fall into bins of the ranking number, as many
+as the source's documents call for; bins are summed and accumulated, and only inside a bin is
+there an order.
 
 Edge cases: a null source is a source of its own, ordered last.  Null and empty texts
 have size 0 and take 0 words.  Rows that repeat a doc_id are drawn alike.  Only
@@ -25,14 +30,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import is_small, stash
 
 SHARE_PERCENT, WEIGHTS, MOST = 150, (3, 1, 2), 2
-BINS = 1024
+PASSES = 3
+BIN_ROWS = 20_000
 SEED = "mix"
 
 
@@ -55,75 +61,80 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
     return named.select("source", "rank", "size", target.alias("target"))
 
 
+def root4(size: Column) -> Column:
+    return F.sqrt(F.sqrt(size.cast("double")))
+
+
+def levels(by_size: DataFrame) -> DataFrame:
+    """(rank, level, free) from (rank, size, c, need), the number of documents by source and size: documents below
+    `free` words are certain to bring one more copy, others do so with probability level / size^(1/4)."""
+    order = W.partitionBy("rank").orderBy("size")
+    held = F.coalesce(F.sum(F.col("c") * F.col("size")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    onward = F.sum(F.col("c") * F.col("size") / root4(F.col("size"))).over(order.rowsBetween(0, W.unboundedFollowing))
+    found = by_size.where("size > 0").withColumn("level", (F.col("need") - held) / onward).where(F.col("level") <= root4(F.col("size")))
+    return found.groupBy("rank").agg(F.min(F.struct("size", "level")).alias("f")).select("rank", F.col("f.level").alias("level"), F.col("f.size").alias("free"))
+
+
+def probability() -> Column:
+    """Of one more copy of a document of `size` words, by its source's level."""
+    certain = F.col("level").isNull() | (F.col("size") < F.col("free"))
+    return F.when(F.col("size") == 0, 0.0).when(certain, 1.0).otherwise(F.least(F.lit(1.0), F.col("level") / root4(F.col("size"))))
+
+
 def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """For each row of `docs` (doc_id, source, text): doc_id, source, size, source_size, target, copies, taken."""
+    """For each row of `docs` (doc_id, source, text): doc_id, source, size, source_size, target, probability
+    (of a copy beyond the certain ones), copies, taken."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = stash(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
-    sources = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, share_percent, most), "sources")
-    sources = sources.select(F.col("source").alias("name"), "rank", F.col("size").alias("source_size"), "target")
+    by_size = stash(sized.groupBy("source", "size").agg(F.count("*").alias("c")), "counts")
+    totals = by_size.groupBy("source").agg(F.sum(F.col("c") * F.col("size")).alias("size"), F.sum("c").alias("docs"))
+    sources = stash(targets(totals.select("source", "size"), weights, share_percent, most), "targets")
+    whole = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("size"), F.lit(0))), F.lit(0)).cast("long")
+    sources = sources.select(F.col("source").alias("name"), "rank", F.col("size").alias("source_size"), "target", whole.alias("whole"))
     few = is_small(sources)  # then every table with one row a source may be sent to all executors
     per_source = lambda df: F.broadcast(df) if few else df
-    rows = sized.join(per_source(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    ratio = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+    named = lambda df: df.join(per_source(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    by_size = named(by_size).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    found = stash(levels(by_size), "levels")
+    bins = named(totals.select("source", "docs")).select("rank", F.ceil(F.col("docs") / BIN_ROWS).alias("bins"))
+    sure = F.sum(F.when(probability() >= 1, F.col("c") * F.col("size")).otherwise(0))
+    needs = by_size.join(per_source(found), "rank", "left").groupBy("rank").agg((F.first("need") - sure).alias("gap"))
+    needs = stash(needs.join(per_source(found), "rank", "left").join(per_source(bins), "rank").select("rank", "level", "free", "bins", "gap"), "needs")
+
+    rows = named(sized).join(per_source(needs.drop("gap")), "rank").withColumn("p", probability())
+    rows = rows.withColumn("whole", F.col("whole") + (F.col("p") >= 1).cast("long")).withColumn("part", F.when(F.col("p") < 1, F.col("p")).otherwise(0.0))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    rows = rows.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
-    rows = rows.withColumn("u", (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52)
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
-    rows = rows.withColumn("q", F.when(F.col("part") > 0, odds)).withColumn("bin", F.floor(F.col("u") * BINS))
-    rows = rows.drop("u").withColumn("pass", F.lit(None).cast("int"))
-
-    needs = sources.select("rank", (F.col("target") - F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))) * F.col("source_size")).alias("gap"))
-    gone, closings, number = [rows.where(F.col("part") <= 0)], [], 0
-    rows = rows.where(F.col("part") > 0)
-    while True:
-        ranked = stash(_pass(rows, needs, per_source, number), "pass")
-        offers = stash(_closings(ranked, needs, per_source, number), "closing")
-        closings.append(offers)
-        again = offers.where("not done").select("rank", F.col("miss").alias("gap"))
-        # what is taken, and what can neither be taken nor close a gap any more, takes part in no later pass
-        left = ranked.join(per_source(again.select("rank", "gap")), "rank", "left")
-        stays = F.coalesce(F.col("pass").isNull() & (F.col("size") < 2 * F.col("gap")), F.lit(False))
-        gone.append(left.where(~stays).drop("gap"))
-        if again.isEmpty():
-            break
-        rows, needs, number = left.where(stays).drop("gap"), again, number + 1
-
-    every = reduce(DataFrame.unionByName, closings)
-    best = every.groupBy("rank").agg(F.min(F.struct("off", "number", "last_id")).alias("best"))
-    best = best.select("rank", F.col("best.number").alias("number"), F.col("best.last_id").alias("last_id"))
-    done = reduce(DataFrame.unionByName, gone).join(per_source(best), "rank", "left")
-    picked = F.coalesce(F.col("pass") <= F.col("number"), F.lit(False))
-    extra = picked | (~picked & (F.col("part") > 0) & F.coalesce(F.col("doc_id") == F.col("last_id"), F.lit(False)))
-    copies = F.col("whole") + extra.cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
-
-
-def _pass(rows: DataFrame, needs: DataFrame, per_source: Callable[[DataFrame], DataFrame], number: int) -> DataFrame:
-    """`rows` with `pass` = number where a document is taken: in rank order up to the first one that
-    doesn't fit, documents larger than the whole gap passed over."""
-    rows = rows.join(per_source(needs), "rank").withColumn("fit", F.when(F.col("size") <= F.col("gap"), F.col("size")))
-    bins = rows.groupBy("rank", "bin").agg(F.sum("fit").alias("held"))
+    u = (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    rows = rows.withColumn("u", u).withColumn("q", F.when(F.col("part") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))))
+    rows = rows.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * F.col("bins"))).drop("u", "p", "level", "free", "bins")
+
+    done, pool, needs = [rows.where("part <= 0").withColumn("extra", F.lit(0))], rows.where("part > 0"), needs.select("rank", "gap")
+    for _ in range(PASSES):
+        ranked = stash(_pass(pool, needs, per_source), "pass")
+        got = ranked.where("picked").groupBy("rank").agg(F.sum("size").alias("got"))
+        needs = stash(needs.join(per_source(got), "rank", "left").select("rank", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap")), "gaps")
+        done.append(ranked.where("picked").withColumn("extra", F.lit(1)).drop("picked"))
+        pool = ranked.where("NOT picked").drop("picked")
+    off = F.abs(F.col("gap") - F.col("size"))
+    spare = pool.join(per_source(needs), "rank").where(off < F.col("gap"))
+    last = spare.groupBy("rank").agg(F.min(F.struct(off.alias("off"), "q", "doc_id")).alias("l")).select("rank", F.col("l.doc_id").alias("last_id"))
+    closes = F.coalesce(F.col("doc_id") == F.col("last_id"), F.lit(False))
+    done.append(pool.join(per_source(last), "rank", "left").withColumn("extra", closes.cast("int")).drop("last_id"))
+    copies = (F.col("whole") + F.col("extra")).cast("long")
+    return reduce(DataFrame.unionByName, done).select("doc_id", "source", "size", "source_size", "target", F.col("part").alias("probability"), copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def _pass(pool: DataFrame, needs: DataFrame, per_source: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`pool` with `picked`: in rank order up to the first document that doesn't fit what is left of
+    the gap; documents larger than the whole gap are passed over."""
+    pool = pool.join(per_source(needs), "rank").withColumn("fit", F.when(F.col("size") <= F.col("gap"), F.col("size")))
+    bins = pool.groupBy("rank", "bin").agg(F.sum("fit").alias("held"))
     before = F.coalesce(F.sum("held").over(W.partitionBy("rank").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bins = bins.select("rank", "bin", before.alias("before"))
     inside = W.partitionBy("rank", "bin").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    reach = F.col("before") + F.sum("fit").over(inside)
-    ranked = rows.join(bins, ["rank", "bin"]).withColumn("reach", reach)
-    taken = F.col("fit").isNotNull() & (F.col("reach") <= F.col("gap"))
-    return ranked.withColumn("pass", F.when(taken, F.lit(number))).drop("fit", "before", "reach", "gap")
-
-
-def _closings(ranked: DataFrame, needs: DataFrame, per_source: Callable[[DataFrame], DataFrame], number: int) -> DataFrame:
-    """(rank, number, miss, off, last_id, done): by source what a pass leaves of the target, the document that
-    closes this best (or none), what it leaves, and whether no document would fit even that."""
-    got = ranked.groupBy("rank").agg(F.sum(F.when(F.col("pass").isNotNull(), F.col("size")).otherwise(0)).alias("got"))
-    full = needs.join(per_source(got), "rank").select("rank", (F.col("gap") - F.col("got")).alias("miss"))
-    spare = ranked.where(F.col("pass").isNull()).join(per_source(full), "rank")
-    off = F.abs(F.col("miss") - F.col("size"))
-    closes, fits = off < F.col("miss"), (F.col("size") > 0) & (F.col("size") <= F.col("miss"))
-    found = spare.groupBy("rank").agg(F.min(F.when(closes, F.struct(off.alias("off"), "q", "doc_id"))).alias("last"), F.min(F.when(fits, F.col("size"))).alias("least"))
-    found = full.join(per_source(found), "rank", "left").withColumn("off", F.coalesce("last.off", F.abs("miss")))
-    done = F.col("least").isNull() | (F.col("off") < F.col("least"))
-    return found.select("rank", F.lit(number).alias("number"), "miss", "off", F.col("last.doc_id").alias("last_id"), done.alias("done"))
+    ranked = pool.join(bins, ["rank", "bin"]).withColumn("reach", F.col("before") + F.sum("fit").over(inside))
+    picked = F.col("fit").isNotNull() & (F.col("reach") <= F.col("gap"))
+    return ranked.withColumn("picked", picked).drop("fit", "before", "reach", "gap")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -153,23 +164,39 @@ WITH sized AS (
   FROM levelled
 ), targets AS (
   SELECT source, size AS source_size, CAST(CASE WHEN shared IS NULL OR place <= limited THEN most ELSE weight * shared END AS DOUBLE) AS target FROM freed
+), needed AS (
+  SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole, target - coalesce(floor(target / nullif(source_size, 0)), 0) * source_size AS need FROM targets
+), by_size AS (
+  SELECT s.source, s.size, count(*) AS c, any_value(t.need) AS need FROM sized s JOIN needed t ON s.source IS NOT DISTINCT FROM t.source WHERE s.size > 0 GROUP BY s.source, s.size
+), filled AS (
+  SELECT source, size, (need - coalesce(sum(c * size) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(c * size / sqrt(sqrt(size))) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM by_size
+), free AS (
+  SELECT source, min(size) AS free, arg_min(level, size) AS level FROM filled WHERE level <= sqrt(sqrt(size)) GROUP BY source
 ), drawn AS (
-  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
-         coalesce(t.target / nullif(t.source_size, 0), 0) AS ratio,
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.need, t.whole,
+         CASE WHEN s.size = 0 THEN 0 WHEN level IS NULL OR s.size < free THEN 1 ELSE least(1, level / sqrt(sqrt(s.size))) END AS p,
          (CAST(('0x' || substr(md5('{SEED}:' || CAST(s.doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  FROM sized s JOIN needed t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN free f ON s.source IS NOT DISTINCT FROM f.source
 ), parted AS (
-  SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS part, target - floor(ratio) * source_size AS need FROM drawn
-), ranked AS (
-  SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS q FROM parted
-), reached AS (
-  SELECT *, part > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) <= need AS picked FROM ranked
-), got AS (
-  SELECT *, need - sum(CASE WHEN picked THEN size ELSE 0 END) OVER (PARTITION BY source) AS miss FROM reached
-), closed AS (
-  SELECT *, NOT picked AND part > 0 AND abs(miss - size) < miss AND
-         row_number() OVER (PARTITION BY source, NOT picked AND part > 0 AND abs(miss - size) < miss ORDER BY abs(miss - size), q, doc_id) = 1 AS last
-  FROM got
+  SELECT * EXCLUDE (whole), whole + CASE WHEN p >= 1 THEN 1 ELSE 0 END AS whole, CASE WHEN p < 1 THEN p ELSE 0 END AS part,
+         need - sum(CASE WHEN p >= 1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap
+  FROM drawn
+), pass0 AS (
+  SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS q, FALSE AS taken FROM parted
+){{passes}}, last AS (
+  SELECT *, NOT taken AND part > 0 AND abs(gap - size) < gap AND
+         row_number() OVER (PARTITION BY source, NOT taken AND part > 0 AND abs(gap - size) < gap ORDER BY abs(gap - size), q, doc_id) = 1 AS closes
+  FROM pass{PASSES}
 )
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN picked OR last THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM closed
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN taken OR closes THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM last
 """
+_PASS = """, reach{n} AS (
+  SELECT *, sum(CASE WHEN part > 0 AND NOT taken AND size <= gap THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS reach FROM pass{before}
+), picked{n} AS (
+  SELECT *, part > 0 AND NOT taken AND size <= gap AND reach <= gap AS picked FROM reach{n}
+), pass{n} AS (
+  SELECT * EXCLUDE (gap, taken, reach, picked), taken OR picked AS taken, gap - sum(CASE WHEN picked THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM picked{n}
+)"""
+SQL = SQL.format(docs="{docs}", passes="".join(_PASS.format(n=n, before=n - 1) for n in range(1, PASSES + 1)))
