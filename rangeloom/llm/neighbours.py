@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .scratch import is_small, stash
 
 DIMENSIONS, CONFIDENCE, SEED = 16, 0.95, 20
-SAMPLE, REGION, REGIONS, LEAF = 50_000, 4096, 1024, 32
+SAMPLE, REGION, REGIONS, LEAF = 50_000, 4096, 1024, 128
 #: Regions that a query looks into, nearest first, before its k-th best is compared with others'.
 ROUNDS = (1, 5, 21, None)
 
@@ -137,6 +137,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, queries: np
     order = np.argsort(away, axis=1, kind="stable")
     near = np.take_along_axis(away, order, axis=1)
     norms = (queries**2).sum(1) + bound * bound
+    length_t, length_p = (targets**2).sum(1), (points**2).sum(1)
     best = np.full((len(queries), k), -np.inf)
     kth = np.full(len(queries), -np.inf) if kth is None else kth
     reach = lambda who: limit * np.maximum(0, norms[who] - 2 * np.maximum(best[who].min(1), kth[who]))  # noqa: E731  infinite as long as there is no k-th best
@@ -147,7 +148,9 @@ def search(ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, queries: np
         visits = order[live, step]
         for leaf in np.unique(visits):
             who, rows = live[visits == leaf], leaves[leaf]
-            ahead = ((targets[who][:, None, :] - points[rows][None]) ** 2).sum(-1) <= reach(who)[:, None]
+            # rounding may only let more points pass
+            apart = length_t[who][:, None] + length_p[rows] - 2 * (targets[who] @ points[rows].T)
+            ahead = apart <= (reach(who) + 1e-9 * (length_t[who] + bound * bound))[:, None]
             verified += int(ahead.sum())
             scores = np.where(ahead, queries[who] @ vectors[rows].T, -np.inf)
             floor = np.maximum(best[who].min(1), kth[who])
