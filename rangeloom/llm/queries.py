@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text").dropDuplicates(["doc_id"])
+    return substring.remove_repeats(_read(spark, sf_dir, "documents"), texts=False)
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_lines": f"""
-WITH lines AS ({lines.LINES_SQL.format(docs="documents")}), done AS ({lines.SQL})
+WITH lines AS ({lines.LINES_SQL.format(docs="documents")}), done AS ({lines.SQL.format(docs="documents")})
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN done USING (doc_id)""",
     "op3_mixing": mixing.SQL.format(docs="documents"),
