@@ -14,7 +14,8 @@ Words are runs of a-z, 0-9 and anything beyond ASCII, after A-Z are lower-cased.
 DataFrame functions are used; the template table's size is fixed by the parameter.
 
 Edge cases: null and empty texts have no words, no labels and score 0.  Rows that
-repeat a doc_id are one document.
+repeat a doc_id and its text are one document; another text under the same id, or without
+an id, is a document of its own.
 """
 
 from __future__ import annotations
@@ -39,19 +40,32 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Wordings of well-known notices and their labels.
+#: Wordings of well-known notices and license texts, several passages each, and their labels.
 TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software": "mit",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed the gnu general public license is a free copyleft license for software and other kinds of works": "gpl",
     "you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
+    "you can redistribute it and or modify it under the terms of the gnu library general public license": "lgpl",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license": "agpl",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
+    "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
     "licensed under cc by nc 4 0": "cc-by-nc",
 }
 #: Words that make another license of a notice that has them.
@@ -87,21 +101,22 @@ def _grams(spark: SparkSession, phrases: dict[str, str], templates: dict[str, st
 
 
 def matches(docs: DataFrame, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
-    """(doc_id, template, diagonal, votes...); rows without a template hold the rest of each document."""
+    """(doc_id, txt, template, diagonal, votes...) of `docs` (doc_id, text, txt); rows without a template hold the rest of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # lower() is fast; the one character that it would turn into an ASCII letter takes the slow way
     low = F.when(text.contains("K"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
-    words = docs.select("doc_id", F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("w"))
+    words = docs.select("doc_id", "txt", F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("w"))
     rolled = F.arrays_zip("w", *[F.slice("w", F.lit(i + 1), F.size("w")).alias(f"w{i}") for i in range(1, LONG)])
-    at = words.select("doc_id", F.posexplode_outer(rolled).alias("pos", "g"))
-    at = at.select("doc_id", "pos", F.col("g.w").alias("w0"), *[F.col(f"g.w{i}") for i in range(1, LONG)])
+    at = words.select("doc_id", "txt", F.posexplode_outer(rolled).alias("pos", "g"))
+    at = at.select("doc_id", "txt", "pos", F.col("g.w").alias("w0"), *[F.col(f"g.w{i}") for i in range(1, LONG)])
     grams = _grams(docs.sparkSession, phrases, templates)
     same = (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1"))
     longer = (F.col("k") == SHORT) | (F.col("w2") == F.col("t2")) & (F.col("w3") == F.col("t3"))
     # bounded by MAX_TEMPLATE_WORDS
     hit = at.join(F.broadcast(grams), (F.xxhash64("w0", "w1") == F.col("key")) & same & longer, "left")
-    return hit.groupBy("doc_id", "tpl", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("tpos").alias("votes"),
+    # positions of one diagonal are distinct unless the row is repeated
+    return hit.groupBy("doc_id", "txt", "tpl", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
+        F.size(F.collect_set("tpos")).cast("long").alias("votes"),
         F.min("tpos").alias("low"),
         F.max("tpos").alias("high"),
         F.min("pos").alias("first"),
@@ -114,14 +129,14 @@ def matches(docs: DataFrame, phrases: dict[str, str], templates: dict[str, str])
 
 
 def _telling(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(marked_id, marks): the `TELLING` words of the documents `wanted` (marked_id), with their positions."""
+    """(marked_id, marked_txt, marks): the `TELLING` words of the documents `wanted` (marked_id, marked_txt), with their positions."""
     if is_small(wanted):
-        some = docs.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("marked_id")), "left_semi")
+        some = docs.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col("txt") == F.col("marked_txt")), "left_semi")
     else:  # texts aren't shuffled: all that have such a word are looked at
         some = docs.where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(sorted(TELLING))})(?![a-z0-9])"))
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
-    at = some.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).alias("pos", "word")).where(F.col("word").isin(sorted(TELLING)))
-    return at.groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_set(F.struct("pos", "word")).alias("marks"))
+    at = some.select("doc_id", "txt", F.posexplode(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).alias("pos", "word")).where(F.col("word").isin(sorted(TELLING)))
+    return at.groupBy(F.col("doc_id").alias("marked_id"), F.col("txt").alias("marked_txt")).agg(F.collect_set(F.struct("pos", "word")).alias("marks"))
 
 
 def _best(spans: Column) -> Column:
@@ -136,13 +151,13 @@ def _best(spans: Column) -> Column:
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, covered: float = COVERED) -> DataFrame:
     """For each doc_id of `docs` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score, and spans: (label, first word, word behind the last, share of the template)."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("txt", F.xxhash64("text"))
     found = stash(matches(docs, phrases, templates), "matches")
     base = F.coalesce(F.col("base"), F.lit(False))
-    order = W.partitionBy("doc_id", "tpl").orderBy("diagonal")
+    order = W.partitionBy("doc_id", "txt", "tpl").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"), F.lit(1))
     wide = found.where(~base & F.col("tpl").isNotNull()).withColumn("island", F.sum(new).over(order))
-    merged = wide.groupBy("doc_id", "tpl", "island").agg(
+    merged = wide.groupBy("doc_id", "txt", "tpl", "island").agg(
         F.first("label").alias("label"),
         (F.least(F.sum("votes"), F.max("high") - F.min("low") + 1) + F.first("k") - 1).alias("words"),
         F.first("len").alias("len"),
@@ -154,9 +169,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     )
     merged = merged.withColumn("share", F.least(F.lit(1.0), F.col("words") / F.col("len")))
     merged = stash(merged, "spans")
-    long_enough = stash(merged.where(F.col("share") >= covered).select(F.col("doc_id").alias("marked_id")).distinct(), "licensed")
+    long_enough = stash(merged.where(F.col("share") >= covered).select(F.col("doc_id").alias("marked_id"), F.col("txt").alias("marked_txt")).distinct(), "licensed")
     marks = stash(_telling(docs, long_enough), "marks")
-    merged = merged.join(F.broadcast(marks) if is_small(marks) else marks, F.col("doc_id").eqNullSafe(F.col("marked_id")), "left")
+    merged = merged.join(F.broadcast(marks) if is_small(marks) else marks, F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col("txt") == F.col("marked_txt")), "left")
     # the template's words that aren't covered at its ends have their place beside the span
     near = lambda x: (x.pos >= F.col("first") - F.col("low")) & (x.pos < F.col("end") + F.col("len") - F.col("high"))
     own = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("marks", F.array().cast("array<struct<pos:int,word:string>>")), near), lambda x: x.word)))
@@ -165,11 +180,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     merged = merged.withColumn("holds", (F.col("share") >= covered) & (own == wanted))
     none = F.lit(None)
     span = F.struct("label", "first", "end", "share", "len")
-    plain = found.where(base | F.col("tpl").isNull()).select("doc_id", "last", base.alias("base"), "first", F.when(base, F.col("label")).alias("base_label"), F.when(base, 1.0).alias("share"), F.when(base, F.struct("label", "first", (F.col("first") + F.col("len")).alias("end"), F.lit(1.0).alias("share"), "len")).alias("span"))
-    spans = merged.select("doc_id", "last", F.lit(False).alias("base"), "first", none.cast("string").alias("base_label"), "share", F.when(F.col("holds"), span).alias("span"))
+    plain = found.where(base | F.col("tpl").isNull()).select("doc_id", "txt", "last", base.alias("base"), "first", F.when(base, F.col("label")).alias("base_label"), F.when(base, 1.0).alias("share"), F.when(base, F.struct("label", "first", (F.col("first") + F.col("len")).alias("end"), F.lit(1.0).alias("share"), "len")).alias("span"))
+    spans = merged.select("doc_id", "txt", "last", F.lit(False).alias("base"), "first", none.cast("string").alias("base_label"), "share", F.when(F.col("holds"), span).alias("span"))
     rows = plain.union(spans)
     joined = lambda c: F.array_join(F.array_sort(c), ",")
-    out = rows.groupBy("doc_id").agg(
+    out = rows.groupBy("doc_id", "txt").agg(
         F.coalesce(F.max("last") + 1, F.lit(0)).cast("long").alias("n_words"),
         F.sum(F.col("base").cast("long")).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).cast("long").alias("first_word"),
