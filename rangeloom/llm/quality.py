@@ -4,8 +4,8 @@ Each line that holds a word becomes a feature vector.  A two-state chain
 (content, boilerplate) labels a document's lines by Viterbi decoding, and the
 share of words on content lines decides whether the document stays.  The chain's
 weights are trained by maximum likelihood on a bounded sample of labelled
-documents (`train_rows`, those with the smallest hash of their id, of at most
-`train_lines` lines); every line of such a document takes the document's label.
+documents: `train_rows` of them at most, those with the smallest hash of their id, as long
+as they have `train_lines` lines between them; every line takes its document's label.
 
 Edge cases: null and empty texts have no words, so they fail the base rules.
 Repeated rows give repeated results.  Without labels of both kinds there is
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +28,7 @@ from .words import Words, list_array, mix, slices, windows
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 CONTENT_SHARE = 0.5
-TRAIN_ROWS, TRAIN_LINES = 2000, 100
+TRAIN_ROWS, TRAIN_LINES = 2000, 200_000
 
 _SYMBOL, _UPPER, _LETTER, _DIGIT, _STOP = (np.zeros(256, dtype=bool) for _ in range(5))
 _SYMBOL[list(SYMBOLS.encode())] = True
@@ -207,12 +208,15 @@ def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_lines: int = TRAIN_LINES):
-    """Weights learnt from at most `train_rows` labelled documents of at most `train_lines` lines, or None."""
+    """Weights learnt from at most `train_rows` labelled documents of `train_lines` lines in all, or None."""
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # only ids are ranked; the texts of the chosen few are fetched by a join with a list of bounded length
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    text = docs.select("doc_id", "text").where(F.size(F.split("text", "\n")) <= train_lines)
-    rows = text.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_line_features, "quality int, x array<double>").collect()
+    chosen = F.broadcast(chosen).join(docs.select("doc_id", F.size(F.split("text", "\n")).alias("lines")), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.sum("lines").alias("lines"))
+    # `train_rows` rows at most; a long document ends the sample, its length alone never keeps it out
+    before = F.sum("lines").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1))
+    chosen = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("lines") <= train_lines))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id").select("quality", "text").mapInArrow(_line_features, "quality int, x array<double>").collect()
     rows = [r for r in rows if r.x]
     if len({int(r.quality > 0) for r in rows}) < 2:
         return None
