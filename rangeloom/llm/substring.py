@@ -8,14 +8,15 @@ repeats are hashed, shuffled and compared.  The removal rule needs no longer
 windows; repeat_lengths() goes on doubling until no candidates survive.
 
 A word goes if a window over it holds the same words as a window that starts earlier
-(smaller doc_id, or same document and earlier start).  Windows are compared by 64-bit
-hashes of their halves' hashes; both levels must agree.  Each level first combines what
+(smaller doc_id, or same document and earlier start).  Halves are compared by 64-bit
+hashes, windows by 96 bits from two chains of word hashes.  Each level first combines what
 a slice of the table holds of a window, so that a passage in a third of all documents
-costs one row a slice; repeats inside a slice need no shuffle at all.
+costs one row a slice; repeats inside a slice need no shuffle at all.  A level shuffles its
+rows once: a window function sees all rows of a hash, and spills what doesn't fit.
 
 Edge cases: null texts have no words; texts shorter than a window lose nothing.  Rows
-that repeat a doc_id are one document (they must agree in their text); rows without a
-doc_id have no place in the order and are left out.
+that repeat a doc_id are one document and should agree in their text; each is returned.  Rows without a doc_id
+have no place in the order: they lose nothing, and nothing is lost because of them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import stash
@@ -45,17 +47,12 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(out[:n], out[span - size : span - size + n])
 
 
-def levels(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of half windows; starts of whole windows; each one's least half hash; each one's hash."""
+def levels(words: np.ndarray, w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From word hashes: hashes of half windows; starts of whole windows; each one's least half hash."""
     half = window // 2
-    halves = windows(w.hashes(), half)
+    halves = windows(words, half)
     at = np.flatnonzero(w.whole(window))
-    if not len(at):
-        none = np.zeros(0, np.uint64)
-        return halves, at, none, none
-    least = _least(halves, window - half + 1)[at]
-    whole = mix(halves[at] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(halves[at + window - half] + np.uint64(window)))
-    return halves, at, least, whole
+    return halves, at, _least(halves, window - half + 1)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def _by_doc(doc_id: pa.Array, row: np.ndarray) -> np.ndarray:
@@ -71,7 +68,7 @@ def _anchors(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in slices(batch.column("text")):
-                halves, at, least, _ = levels(w, window)
+                halves, at, least = levels(w.hashes(), w, window)
                 chosen = np.zeros(len(halves), bool)
                 for k in range(window - window // 2 + 1):
                     chosen[at + k] |= halves[at + k] == least
@@ -93,7 +90,7 @@ def _anchors(window: int):
 
 
 def _extend(window: int):
-    """(whole, doc_id, start, seen).  Seen windows start earlier in this slice of the table; every
+    """(whole, check, doc_id, start, seen).  Seen windows start earlier in this slice of the table; every
     window of the slice leaves its first place to be compared with other slices."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +100,9 @@ def _extend(window: int):
                 owner = np.repeat(np.arange(b - a), hits.value_lengths().to_numpy(zero_copy_only=False))
                 known = mix(hits.flatten().to_numpy().view(np.uint64) + owner.astype(np.uint64) * _ROW)
                 known.sort()
-                _, at, least, whole = levels(w, window)
+                words = w.hashes()
+                halves, at, least = levels(words, w, window)
+                whole = mix(halves[at] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(halves[at + window - window // 2] + np.uint64(window)))
                 key = mix(least + w.row[at].astype(np.uint64) * _ROW)
                 slot = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
                 live = known[slot] == key if len(known) else np.zeros(len(at), bool)
@@ -111,6 +110,7 @@ def _extend(window: int):
                 order = _by_doc(batch.column("doc_id").slice(a, b - a), w.row[at])
                 at, whole = at[order], whole[order]
                 row = w.row[at]
+                check = windows(mix(words + _ROW), window)[at].view(np.int64).astype(np.int32)
                 doc_id = batch.column("doc_id").slice(a, b - a).to_numpy(zero_copy_only=False)[row]
                 start = (at - w.first[row]).astype(np.int32)
                 _, first, group = np.unique(whole, return_index=True, return_inverse=True)
@@ -119,19 +119,21 @@ def _extend(window: int):
                 # the same place once more, in a repeated row, is no repeat
                 same = seen & (doc_id == doc_id[first[group]]) & (start == start[first[group]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[~same]) for x in (whole.view(np.int64), doc_id, start, seen)], names=["whole", "doc_id", "start", "seen"]
+                    [pa.array(x[~same]) for x in (whole.view(np.int64), check, doc_id, start, seen)], names=["whole", "check", "doc_id", "start", "seen"]
                 )
 
     return work
 
 
-def _remove(window: int):
+def _remove(window: int, texts_too: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in slices(batch.column("text")):
                 starts = batch.column("starts").slice(a, b - a).fill_null([])
                 row = np.repeat(np.arange(b - a), starts.value_lengths().to_numpy(zero_copy_only=False))
-                at = w.first[row] + starts.flatten().to_numpy()
+                start = starts.flatten().to_numpy()
+                inside = start + window <= w.counts()[row]  # a repeated id may have come with a shorter text
+                at = (w.first[row] + start)[inside]
                 cover = np.zeros(len(w) + 1, np.int64)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
@@ -149,54 +151,58 @@ def _remove(window: int):
                 ends = np.concatenate([[0], np.cumsum(mask)])[w.offsets]
                 text = data[mask].tobytes()
                 texts = [text[ends[i] : ends[i + 1]] for i in range(w.rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(a, b - a),
-                        pa.array(w.counts().astype(np.int64)),
-                        pa.array((w.counts() - counts).astype(np.int64)),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in texts]),
-                        pa.array(texts, pa.binary()).cast(pa.string()),
-                    ],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-                )
+                out = {
+                    "doc_id": batch.column("doc_id").slice(a, b - a),
+                    "n_words": pa.array(w.counts().astype(np.int64)),
+                    "n_removed": pa.array((w.counts() - counts).astype(np.int64)),
+                    "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts]),
+                }
+                if texts_too:
+                    out["kept_text"] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
     return work
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text).  Columns of the right type are taken as they are: a renamed column would keep the
+    planner from seeing that the documents' shuffle is the same at both levels."""
+    kinds = dict(docs.dtypes)
+    typed = lambda c, kind: F.col(c) if kinds[c] == kind else F.col(c).cast(kind).alias(c)
+    return docs.select(typed("doc_id", "bigint"), typed("text", "string"))
+
+
 def _wholes(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """The documents by id, and every place of a window whose half at level one repeats."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    placed = docs.repartition("doc_id")  # shuffled once, read at both levels
-
-    anchors = docs.mapInArrow(_anchors(window), "half long, doc_id long, settled boolean, again boolean")
-    # what a slice of the table holds of one half was combined, so no half is hot here
-    open_halves = anchors.where("not settled").select("half", "doc_id", "again").repartition("half")
-    # both sides read all three columns, so that they share one shuffle
-    repeated = open_halves.groupBy("half").agg(F.count("*").alias("n"), F.max("again").alias("any"), F.min("doc_id").alias("low"))
-    repeated = repeated.where("(n > 1 or any) and low is not null").select("half", "n")
-    hits = open_halves.join(repeated, "half").where("again or n > 0").select("half", "doc_id")
+    placed = docs.where("doc_id IS NOT NULL").repartition("doc_id")  # shuffled once, read at both levels
+    anchors = docs.where("doc_id IS NOT NULL").mapInArrow(_anchors(window), "half long, doc_id long, settled boolean, again boolean")
+    # what a slice of the table holds of one half was combined: a half has one row a slice at most
+    same = W.partitionBy("half")
+    hits = anchors.where("not settled").select("half", "doc_id", "again")
+    hits = hits.withColumn("n", F.count("*").over(same)).withColumn("any", F.max("again").over(same)).where("n > 1 or any").select("half", "doc_id")
     hits = hits.union(anchors.where("settled").select("half", "doc_id")).groupBy("doc_id").agg(F.collect_set("half").alias("halves"))
     extended = placed.join(hits, "doc_id").select("doc_id", "text", "halves")
-    return placed, extended.mapInArrow(_extend(window), "whole long, doc_id long, start int, seen boolean")
+    return placed, extended.mapInArrow(_extend(window), "whole long, check int, doc_id long, start int, seen boolean")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each doc_id of `docs` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+    """For each row of `docs` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and kept_text if `texts`."""
+    docs = _rows(docs)
     placed, wholes = _wholes(docs, window)
-    open_wholes = wholes.where("not seen").select("whole", "doc_id", "start").repartition("whole")
-    firsts = open_wholes.groupBy("whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("start").alias("reach"))
-    firsts = firsts.where("low <> high and reach is not null").select("whole", "low")
-    later = open_wholes.join(firsts, "whole").where("doc_id > low").select("doc_id", "start")
+    low = F.min("doc_id").over(W.partitionBy("whole", "check"))
+    later = wholes.where("not seen").select("whole", "check", "doc_id", "start").withColumn("low", low).where("doc_id > low").select("doc_id", "start")
     starts = later.union(wholes.where("seen").select("doc_id", "start")).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     joined = placed.join(starts, "doc_id", "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    joined = joined.union(docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts")))
+    return joined.mapInArrow(_remove(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def repeat_lengths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, length) of documents that hold a repeated window: doubling goes on from `window`, a window of
     twice the length being two that repeat side by side, until no candidates survive; length is the last
     one at which a window of the document occurs at a second place."""
-    places = _wholes(docs, window)[1].select("doc_id", F.col("start").cast("long").alias("start"), "whole").distinct()
+    docs = _rows(docs)
+    places = _wholes(docs, window)[1].select("doc_id", F.col("start").cast("long").alias("start"), F.xxhash64("whole", "check").alias("whole")).distinct()
     length, found = window, None
     while True:
         places = stash(places, "places")

@@ -93,10 +93,11 @@ def test_boilerplate_lines(docs, empty):
     sites, first = {}, {}
     for i, t, _, s, *_ in sorted(ROWS, key=lambda r: r[0]):
         for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= lines.MIN_CHARS:
+            if split(line):
                 sites.setdefault(line, set()).add(s)
                 first.setdefault(line, (i, p))
-    bad = {line for line, s in sites.items() if len(s) >= lines.THRESHOLD}
+    half = (len({s for *_, s, _, _, _, _ in ROWS}) + 1) // 2
+    bad = {line for line, s in sites.items() if len(s) >= (lines.THRESHOLD if len(line) >= lines.SHORT else max(lines.THRESHOLD, half))}
     assert "This line stands on every site we know." in bad
     got = {r.doc_id: r for r in lines.drop_boilerplate(docs).collect()}
     assert len(got) == len(ROWS)
@@ -108,6 +109,15 @@ def test_boilerplate_lines(docs, empty):
     assert lines.drop_boilerplate(empty).count() == 0
 
 
+def test_short_lines_need_half_of_all_sites(spark):
+    """Short boilerplate goes, short lines of a few sites and blank lines stay; one line holds a third of all lines."""
+    rows = [(i, f"Read more\n{'Yes.' if i % 24 < 6 else f'No {i}'}\n\nProse of document {i}\nA line that everybody has", f"s{i % 24}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in lines.drop_boilerplate(df).collect():
+        want = rows[r.doc_id][1].split("\n")
+        assert r.text.split("\n") == (want if r.doc_id == 0 else [*want[1:4]]), r
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     four, five = "a line that four sites have", "a line that five sites have"
     rows = [(i, four, None, f"s{i % 4}") for i in range(20)] + [(100 + i, five, None, f"s{i % 5}") for i in range(20)]
@@ -172,8 +182,57 @@ def test_sketches_estimate_similarity():
     (_, _, w), = slices(pa.array(texts))
     regs = neardup.registers(*neardup.shingles(w), 2)
     a, b = map(shingle_set, texts)
-    assert abs(neardup.likeness(regs[0], regs[1]) - len(a & b) / len(a | b)) < 0.15
-    assert np.all(regs > 0)
+    assert abs(neardup.likeness(regs[0], regs[1], len(a), len(b)) - len(a & b) / len(a | b)) < 0.15
+
+
+@pytest.mark.parametrize("n", [3, 8, 30, 120, 700])
+def test_sketches_of_sets_at_the_threshold_stay_candidates(n):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    trials, common = 300, 3 * n
+    both = rng.integers(0, 2**63, (trials, common), dtype=np.uint64)
+    other = rng.integers(0, 2**63, (2, trials, n // 2 or 1), dtype=np.uint64)
+    sketch = [neardup.registers(np.repeat(np.arange(trials), common + x.shape[1]), np.concatenate([both, x], 1).ravel(), trials) for x in other]
+    size = common + (n // 2 or 1)
+    share = common / (common + 2 * (n // 2 or 1))
+    assert neardup.likeness(*sketch, size, size).mean() == pytest.approx(share, abs=0.04)
+    assert neardup.likely(*sketch, np.full(trials, size), np.full(trials, size)).all()
+    assert (neardup.band_keys(sketch[0]) == neardup.band_keys(sketch[1])).any(1).all()
+
+
+def test_near_copies_that_are_not_all_linked(spark):
+    """3000 edits of one text, many too far from it and from each other, in the same buckets."""
+    import numpy as np
+
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(9999, " ".join(base))]
+    for i in range(3000):
+        words = list(base)
+        for k in range(rng.randrange(5)):
+            words[rng.randrange(60)] = f"e{i}.{k}"
+        rows.append((i, " ".join(words)))
+    names: dict = {}
+    ids = [[names.setdefault(s, len(names)) for s in shingle_set(t)] for _, t in rows]
+    shared = {k for k, n in Counter(x for s in ids for x in s).items() if n > 1}
+    column = {k: c for c, k in enumerate(shared)}
+    held = np.zeros((len(rows), len(column)), np.float32)
+    for r, s in enumerate(ids):
+        held[r, [column[x] for x in s if x in column]] = 1
+    both, size = held @ held.T, np.array([len(s) for s in ids])
+    linked = 100 * both >= 75 * (size[:, None] + size[None] - both)
+    np.fill_diagonal(linked, True)
+    doc = np.array([i for i, _ in rows])
+    least = doc.copy()
+    while True:
+        new = np.where(linked, least[None], 10**6).min(1)
+        if (new == least).all():
+            break
+        least = new
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip(doc.tolist(), least.tolist()))
+    assert 50 < len(set(got.values())) < 2900
 
 
 def test_mixing(docs, empty):
@@ -213,17 +272,41 @@ def test_mixing_takes_the_documents_a_walk_in_rank_order_takes(spark):
     rows = [(i, "w " * rng.choice([7, 11, 90, 800, 3000]), "a") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in mixing.draw(df).collect()}
-    u = {i: (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in got}
     total = sum(r.size for r in got.values())
-    gap, walk, states = total / 2, set(), []
-    for i in sorted(u, key=u.get):
-        if got[i].size <= gap:
-            gap -= got[i].size
-            walk.add(i)
-        else:
-            spare = [(abs(gap - got[j].size), j) for j in got if j not in walk and abs(gap - got[j].size) < gap]
-            states.append(min([x[0] for x in spare], default=gap))
-    assert abs(sum(r.taken for r in got.values()) - 1.5 * total) <= min([gap, *states])
+    odds = lambda x: x / (1 - x)
+    u = {i: (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in got}
+    pool = {i: r for i, r in got.items() if r.probability > 0}
+    assert sum(r.probability * r.size for r in pool.values()) + sum(r.copies * r.size for i, r in got.items() if i not in pool) + sum(r.size for r in pool.values()) == pytest.approx(1.5 * total)
+    # all of one source share a level, so p falls with the fourth root of the size
+    assert len({round(r.probability * r.size**0.25, 9) for r in pool.values()}) == 1 and len({round(r.probability, 9) for r in pool.values()}) > 1
+    order = sorted(pool, key=lambda i: odds(u[i]) / odds(pool[i].probability))
+    assert order != sorted(pool, key=u.get)
+    gap, extra = 1.5 * total - total - sum((r.copies - 1) * r.size for i, r in got.items() if i not in pool), set()
+    for _ in range(3):
+        left = gap
+        for i in order:
+            if i not in extra and got[i].size <= left:
+                if got[i].size > gap:
+                    break
+                gap -= got[i].size
+                extra.add(i)
+    spare = [(abs(gap - got[i].size), i) for i in order if i not in extra and abs(gap - got[i].size) < gap]
+    extra |= {min(spare)[1]} if spare else set()
+    assert {i for i in pool if got[i].copies == 2} == extra
+
+
+def test_mixing_meets_its_inclusion_probabilities(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.choice([40, 60, 250, 900]), "a") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    runs, times, wanted = 3, Counter(), {}
+    for seed in range(runs):
+        for r in mixing.draw(df, seed=f"s{seed}").collect():
+            times[r.size] += r.copies - 1
+            wanted[r.doc_id] = (r.size, r.probability)
+    for size in (40, 60, 250, 900):
+        p = [x for n, x in wanted.values() if n == size]
+        assert times[size] / (runs * len(p)) == pytest.approx(sum(p) / len(p), abs=0.05)
 
 
 def test_sources_at_their_limit_hand_on_the_rest(spark):
@@ -415,9 +498,34 @@ def test_doubling_goes_on_until_nothing_repeats(docs):
     assert {r.doc_id: r.length for r in substring.repeat_lengths(docs).collect()} == want
 
 
+def test_documents_are_shuffled_once_for_both_levels(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = substring.remove_repeats(spark.read.parquet(f"{tmp_path}/docs"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held[0])
+        spark.conf.set("spark.sql.adaptive.enabled", held[1])
+    made = [line for line in plan.split("\n") if "Exchange" in line and "ReusedExchange" not in line]
+    assert sum("REPARTITION_BY_COL" in line for line in made) == 1
+    assert sum("half#" in line for line in made) == sum("whole#" in line for line in made) == 1
+
+
+def test_rows_that_repeat_an_id_with_other_texts_do_not_crash(spark):
+    words = [f"r{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, " ".join(words[:25])), (2, " ".join(words)), (2, "short"), (3, " ".join(words[30:]))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [g[:2] for g in got] == [(1, 25), (1, 60), (2, 1), (2, 60), (3, 30)] and got[3][2] == 60 and got[4][2] == 30
+
+
 def test_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "some words of a text that has no id " * 4, "s0"), (1, "other words", "s0"), (2, "third words here", None)], "doc_id long, text string, source string")
-    assert {r.doc_id for r in neardup.near_duplicates(df).collect()} == {1, 2}
-    assert {r.doc_id for r in substring.remove_repeats(df).collect()} == {1, 2}
+    df = df.union(df)
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(df).collect()) == [(0, 0, True)] * 2 + [(1, 1, True), (2, 2, True)]
+    assert neardup.keep_one(df).count() == df.count()
+    df = df.distinct()
+    assert {(r.doc_id, r.n_removed) for r in substring.remove_repeats(df).collect()} == {(None, 0), (1, 0), (2, 0)}
     assert sum(r.taken for r in mixing.draw(df).collect()) == sum(r.n for r in mixing.mix(df).select(F.size(F.split("text", r"\s+(?=\S)")).alias("n")).collect())
     assert lines.drop_boilerplate(df).count() == licenses.scan(df).count() == 3
