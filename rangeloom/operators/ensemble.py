@@ -13,6 +13,14 @@ def train(table: DataFrame, inputs: list[str], label: str, trees: int = 20, dept
     return GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
+def save(model: GBTRegressionModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> GBTRegressionModel:
+    return GBTRegressionModel.load(path)
+
+
 def count_answers(queries: DataFrame, model: GBTRegressionModel) -> DataFrame:
     """(qid, approx) over (lo, hi]: the model at hi less the model at lo."""
     ends = queries.select("qid", F.explode(F.array(F.struct(F.col("lo").alias("key"), F.lit(-1.0).alias("sign")), F.struct(F.col("hi").alias("key"), F.lit(1.0).alias("sign")))).alias("e")).select("qid", "e.*")

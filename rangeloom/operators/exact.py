@@ -2,39 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import small
 from .keyspace import asof, bucket_of, clean, cuts
 
+#: Buckets of about equal size, and parts of equal width in each: what a range covers is looked up there.
+COARSE, FINE = 64, 256
+#: Cells along each axis of the grid that boxes are looked up in.
+CELLS = 64
+
 
 def by_cumulative(queries: DataFrame, table: DataFrame, closed: bool = False) -> DataFrame:
     """(qid, count, sum) over (lo, hi], or [lo, hi] if closed, by two as-of lookups a query."""
     low = queries.select("qid", F.col("lo").alias("at"), F.lit(-1).alias("sign"))
     high = queries.select("qid", F.col("hi").alias("at"), F.lit(1).alias("sign"))
-    found = asof(high, table)
-    found = found.union(asof(low, table, inclusive=not closed))
+    if closed:
+        found = asof(high, table).union(asof(low, table, inclusive=False))
+    else:
+        found = asof(high.union(low), table)
     part = lambda c: F.sum(F.col("sign") * F.coalesce(F.col(f"hit.{c}"), F.lit(0)))
     return found.groupBy("qid").agg(part("f").alias("count"), part("s").alias("sum"))
 
 
-def by_scan(queries: DataFrame, rows: DataFrame, closed: bool = True, buckets: int = 64) -> DataFrame:
-    """(qid, count, sum, min, max, avg) of value over rows (key, value).
+def _coded(rows: DataFrame, key: str, coarse: int = COARSE, fine: int = FINE) -> Callable[[str], Column]:
+    """A function from a column of keys to the number of the part each is in: coarse buckets between approximate
+    quantiles, each cut into `fine` parts of equal width.  It never falls as the key rises."""
+    bounds = cuts(rows, key, coarse)
+    first, last = rows.agg(F.min(key), F.max(key)).first()
+    if first is None:
+        return lambda name: F.lit(0)
+    edges = [float(x) for x in (first, *bounds, last)]
+
+    def code(name: str) -> Column:
+        def leaf(b: int) -> str:
+            width = edges[b + 1] - edges[b]
+            return f"{b * fine} + CAST(least(greatest(floor((`{name}` - {edges[b]!r}D) * {fine / width!r}D), 0), {fine - 1}) AS INT)" if width > 0 and fine > 1 else str(b * fine)
+
+        return bucket_of(name, bounds, leaf).cast("int")
+
+    return code
+
+
+def _parts(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("value").alias("s"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+
+
+def _merged(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+
+
+def by_scan(queries: DataFrame, rows: DataFrame, closed: bool = True, open_end: bool = False) -> DataFrame:
+    """(qid, count, sum, min, max, avg) of value over rows (key, value), in [lo, hi], (lo, hi] or without either end.
 
-    Buckets a range covers whole are answered from one summary row each; only the rows of
-    the buckets at its two ends are joined, on the bucket's number.  A range without rows
-    has count 0 and null elsewhere."""
-    bounds = cuts(rows, "key", buckets)
-    rows = rows.withColumn("bucket", bucket_of(F.col("key"), bounds))
-    both = queries.select("qid", "lo", "hi", bucket_of(F.col("lo"), bounds).alias("b_lo"), bucket_of(F.col("hi"), bounds).alias("b_hi")).where("lo <= hi")
-    parts = lambda df, keys: df.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("value").alias("s"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
-    inner = both.where("b_hi - b_lo > 1").select("qid", F.explode(F.sequence(F.col("b_lo") + 1, F.col("b_hi") - 1)).alias("bucket"))
-    inner = inner.join(F.broadcast(parts(rows, ["bucket"])), "bucket").drop("bucket")  # one row a bucket
-    edges = both.select("qid", "lo", "hi", F.explode(F.array_distinct(F.array("b_lo", "b_hi"))).alias("bucket"))
+    Whole coarse buckets of a range are answered from one summary row each, whole parts of its first and last
+    bucket as well; only the rows of the two parts at its ends are joined, on the part's number.  A range
+    without rows has count 0 and null elsewhere."""
+    code = _coded(rows, "key")
+    rows = rows.withColumn("part", code("key"))
+    asked = queries.where("lo <= hi").select("qid", "lo", "hi", code("lo").alias("a"), code("hi").alias("b"))
+    fine = _parts(rows, ["part"])  # COARSE * FINE rows at most
+    coarse = _merged(fine.withColumn("bucket", F.floor(F.col("part") / FINE)), ["bucket"])
+    between = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    first, last = F.floor(F.col("a") / FINE), F.floor(F.col("b") / FINE)
+    whole = asked.select("qid", F.explode(between(first + 1, last - 1)).alias("bucket")).join(F.broadcast(coarse), "bucket").drop("bucket")
+    head = between(F.col("a").cast("long") + 1, F.least(F.col("b").cast("long") - 1, (first + 1) * FINE - 1))
+    tail = between(F.greatest(last * FINE, F.col("a").cast("long") + 1), F.col("b").cast("long") - 1)
+    rest = F.when(first == last, head).otherwise(F.concat(head, tail))
+    near = asked.select("qid", F.explode(rest).alias("p")).join(F.broadcast(fine), F.col("p") == F.col("part")).drop("p", "part")
+    edges = asked.select("qid", "lo", "hi", F.explode(F.array_distinct(F.array("a", "b"))).alias("part"))
     inside = (F.col("key") >= F.col("lo")) if closed else (F.col("key") > F.col("lo"))
-    outer = parts(rows.join(small(edges), "bucket").where(inside & (F.col("key") <= F.col("hi"))), ["qid"])
-    total = inner.unionByName(outer).groupBy("qid").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+    inside = inside & (F.col("key") < F.col("hi") if open_end else F.col("key") <= F.col("hi"))
+    outer = _parts(rows.join(small(edges), "part").where(inside), ["qid"])
+    total = _merged(whole.unionByName(near).unionByName(outer), ["qid"])
     return queries.select("qid").join(total, "qid", "left").select(
         "qid", F.coalesce("c", F.lit(0)).alias("count"), F.col("s").alias("sum"), F.col("lowest").alias("min"), F.col("highest").alias("max"), (F.col("s") / F.col("c")).alias("avg")
     )
@@ -44,20 +87,40 @@ def range_scan(df: DataFrame, queries: DataFrame, key: str, value: str | None =
     return by_scan(queries, clean(df, key, value), closed)
 
 
-def box_count(queries: DataFrame, points: DataFrame, buckets: int = 64) -> DataFrame:
-    """(qid, count, max) over closed boxes of points (k1, k2, value): an equi-join on buckets of
-    the first key, then the box itself."""
-    bounds = cuts(points, "k1", buckets)
-    points = points.withColumn("bucket", bucket_of(F.col("k1"), bounds))
-    spans = queries.where("lo1 <= hi1").withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("lo1"), bounds), bucket_of(F.col("hi1"), bounds))))
-    hit = points.join(small(spans), "bucket").where(F.col("k1").between(F.col("lo1"), F.col("hi1")) & F.col("k2").between(F.col("lo2"), F.col("hi2")))
-    found = hit.groupBy("qid").agg(F.count("*").alias("c"), F.max("value").alias("m"))
+def box_count(queries: DataFrame, points: DataFrame, cells: int = CELLS, closed: bool = True, group: str | None = None) -> DataFrame:
+    """(qid, count, max) over boxes of points (k1, k2, value), closed or without their lower borders; with `group`
+    (qid, group, count, max) for each group that has points in a box.  Cells of a grid of approximate quantiles
+    that a box covers are answered from one summary row each, only points in the cells of its border are joined."""
+    bounds = {k: cuts(points, k, cells) for k in ("k1", "k2")}
+    cell = lambda c, k: bucket_of(c, bounds[k])
+    by = [group] if group else []
+    points = points.withColumn("x", cell("k1", "k1")).withColumn("y", cell("k2", "k2"))
+    grid = points.groupBy("x", "y", *by).agg(F.count("*").alias("c"), F.max("value").alias("m"))  # cells * cells rows at most, for each group
+    asked = queries.where("lo1 <= hi1 AND lo2 <= hi2").select("qid", "lo1", "hi1", "lo2", "hi2", cell("lo1", "k1").alias("x0"), cell("hi1", "k1").alias("x1"), cell("lo2", "k2").alias("y0"), cell("hi2", "k2").alias("y1"))
+    met = asked.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
+    covered = (F.col("x") > F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1"))
+    whole = met.where(covered).select("qid", "x", "y").join(grid if group else F.broadcast(grid), ["x", "y"]).select("qid", *by, "c", "m")
+    edge = met.where(~covered).select("qid", "lo1", "hi1", "lo2", "hi2", "x", "y")
+    above = lambda k, lo: F.col(k) >= F.col(lo) if closed else F.col(k) > F.col(lo)
+    hit = points.join(small(edge), ["x", "y"]).where(above("k1", "lo1") & above("k2", "lo2") & (F.col("k1") <= F.col("hi1")) & (F.col("k2") <= F.col("hi2")))
+    border = hit.groupBy("qid", *by).agg(F.count("*").alias("c"), F.max("value").alias("m"))
+    found = whole.union(border).groupBy("qid", *by).agg(F.sum("c").alias("c"), F.max("m").alias("m"))
+    if group:
+        return found.select("qid", group, F.col("c").alias("count"), F.col("m").alias("max"))
     return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("c", F.lit(0)).alias("count"), F.col("m").alias("max"))
 
 
 def ranges_per_group(df: DataFrame, queries: DataFrame, key: str, value: str | None, group: str) -> DataFrame:
-    """(qid, group, count, sum): every range for every group that has rows in it."""
+    """(qid, grp, count, sum): every range for every group that has rows in it.  As by_scan(): whole parts of a range
+    are answered from one summary row for each part and group, rows are joined at its two ends alone."""
     name = F.col(group).alias("grp")
     keyed = df.select(F.col(key).cast("double").alias("key"), (F.col(value) if value else F.lit(1.0)).cast("double").alias("value"), name)
     keyed = keyed.where(F.col("key").isNotNull() & ~F.isnan("key"))
-    return keyed.join(small(queries), F.col("key").between(F.col("lo"), F.col("hi"))).groupBy("qid", "grp").agg(F.count("*").alias("count"), F.sum("value").alias("sum"))
+    code = _coded(keyed, "key", COARSE, 1)
+    keyed = keyed.withColumn("part", code("key"))
+    asked = queries.where("lo <= hi").select("qid", "lo", "hi", code("lo").alias("a"), code("hi").alias("b"))
+    whole = asked.where("b - a > 1").select("qid", F.explode(F.sequence(F.col("a") + 1, F.col("b") - 1)).alias("part"))
+    whole = whole.join(keyed.groupBy("part", "grp").agg(F.count("*").alias("c"), F.sum("value").alias("s")), "part").drop("part")
+    edges = asked.select("qid", "lo", "hi", F.explode(F.array_distinct(F.array("a", "b"))).alias("part"))
+    outer = keyed.join(small(edges), "part").where(F.col("key").between(F.col("lo"), F.col("hi"))).groupBy("qid", "grp").agg(F.count("*").alias("c"), F.sum("value").alias("s"))
+    return whole.unionByName(outer).groupBy("qid", "grp").agg(F.sum("c").alias("count"), F.sum("s").alias("sum"))

@@ -21,8 +21,10 @@ def steps(k: np.ndarray, f: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.
     return np.concatenate([k[i:j], right]), np.concatenate([f[i:j], f[i:j]])
 
 
-def minimax(x: np.ndarray, y: np.ndarray, degree: int, rounds: int = 12) -> np.ndarray:
-    """Ascending coefficients near the least largest residual: least squares, reweighted by residuals (Lawson)."""
+def minimax(x: np.ndarray, y: np.ndarray, degree: int, rounds: int = 12, t: float | None = None) -> np.ndarray:
+    """Ascending coefficients near the least largest residual: least squares, reweighted by residuals (Lawson).
+    With t it ends as soon as a fit is within t, or as a weighted mean of squares, which no largest residual
+    is below, shows that none is."""
     basis = np.vander(x, degree + 1, increasing=True)
     w, best, least = np.ones(len(x)) / len(x), None, np.inf
     for _ in range(rounds):
@@ -34,6 +36,8 @@ def minimax(x: np.ndarray, y: np.ndarray, degree: int, rounds: int = 12) -> np.n
         size = np.abs(r - middle)
         if size.max() < least:
             best, least = coef, size.max()
+        if t is not None and (least <= t or (w * r * r).sum() > 1.0001 * t * t):
+            break
         total = (w * size).sum()
         if total <= 0:
             break
@@ -56,36 +60,106 @@ def staircase_error(k: np.ndarray, f: np.ndarray, i: int, j: int, coef: np.ndarr
     return float(err)
 
 
-def _poly(k: np.ndarray, f: np.ndarray, i: int, j: int, degree: int) -> Segment:
+def _poly(k: np.ndarray, f: np.ndarray, i: int, j: int, degree: int, t: float | None = None) -> Segment:
     x, y = steps(k, f, i, j)
     centre, scale = float((x.min() + x.max()) / 2), float(max((x.max() - x.min()) / 2, 1e-12))
     if j - i == 1:
         coef = np.array([f[i]] + [0.0] * degree)
     else:
         base = y.mean()
-        coef = minimax((x - centre) / scale, y - base, min(degree, j - i))
+        coef = minimax((x - centre) / scale, y - base, min(degree, j - i), t=t)
         coef = np.pad(coef, (0, degree + 1 - len(coef)))
         coef[0] += base
     return i, j, coef, centre, scale, staircase_error(k, f, i, j, coef, centre, scale)
 
 
+class Corridor:
+    """Lines through vertical intervals that come in order of x: whether one is left, and which.
+
+    The steepest line still possible runs from the lower end of an earlier interval to the upper end of a
+    later one, the flattest from an upper to a lower end; a line is left as long as the flattest isn't the
+    steeper one.  Only the hulls of the ends can hold such an earlier end."""
+
+    def __init__(self) -> None:
+        self.low: list[tuple[float, float]] = []
+        self.high: list[tuple[float, float]] = []
+        self.flat, self.steep = -np.inf, np.inf
+
+    def take(self, x: float, lo: float, hi: float) -> bool:
+        """Takes in the interval [lo, hi] at x; if no line is left, nothing changes and False is returned."""
+        steep, flat = self.steep, self.flat
+        for a, b in reversed(self.low):
+            if x > a:
+                slope = (hi - b) / (x - a)
+                if slope < steep:
+                    steep = slope
+            elif b > hi:
+                return False
+        for a, b in reversed(self.high):
+            if x > a:
+                slope = (lo - b) / (x - a)
+                if slope > flat:
+                    flat = slope
+            elif b < lo:
+                return False
+        if flat > steep:
+            return False
+        self.steep, self.flat = steep, flat
+        for hull, y, up in ((self.low, lo, 1), (self.high, hi, -1)):
+            while hull and hull[-1][0] == x and up * (y - hull[-1][1]) >= 0:
+                hull.pop()
+            if hull and hull[-1][0] == x:
+                continue
+            while len(hull) > 1 and up * ((hull[-1][1] - hull[-2][1]) * (x - hull[-2][0]) - (y - hull[-2][1]) * (hull[-1][0] - hull[-2][0])) <= 0:
+                hull.pop()
+            hull.append((x, y))
+        return True
+
+    def line(self) -> tuple[float, float]:
+        """(slope, intercept) of a line in the middle of those left."""
+        slope = 0.0 if np.isinf(self.flat) or np.isinf(self.steep) else (self.flat + self.steep) / 2
+        return slope, (max(y - slope * x for x, y in self.low) + min(y - slope * x for x, y in self.high)) / 2
+
+
+def optimal_lines(k: np.ndarray, f: np.ndarray, t: float) -> list[Segment]:
+    """The least number of lines that stay within t of the staircase: each takes in steps as long as any line does."""
+    out, i, n = [], 0, len(k)
+    xs, ys = k.tolist(), f.tolist()
+    while i < n:
+        corridor, j = Corridor(), i
+        while j < n:
+            lo, hi, right = ys[j] - t, ys[j] + t, (xs[j + 1] if j + 1 < n else xs[j]) - xs[i]
+            before = (corridor.flat, corridor.steep, list(corridor.low), list(corridor.high)) if j > i else None
+            if not corridor.take(xs[j] - xs[i], lo, hi):
+                break
+            if right > xs[j] - xs[i] and not corridor.take(right, lo, hi):
+                corridor.flat, corridor.steep, corridor.low, corridor.high = before  # the step's left end alone was possible
+                break
+            j += 1
+        slope, base = corridor.line() if j > i + 1 else (0.0, ys[i])
+        coef = np.array([base, slope])
+        out.append((i, j, coef, xs[i], 1.0, staircase_error(k, f, i, j, coef, xs[i], 1.0)))
+        i = j
+    return out
+
+
 def greedy(k: np.ndarray, f: np.ndarray, t: float, degree: int) -> list[Segment]:
     """Longest segments from left to right: double the length while the error holds, then halve the rest.
     The last accepted end was always measured; a segment of one step always holds."""
     out, i, n = [], 0, len(k)
     while i < n:
-        good = _poly(k, f, i, i + 1, degree)
+        good = _poly(k, f, i, i + 1, degree, t)
         low, size = i + 1, 2
         while low < n:
             end = min(n, i + size)
-            seg = _poly(k, f, i, end, degree)
+            seg = _poly(k, f, i, end, degree, t)
             if seg[5] > t:
                 break
             good, low, size = seg, end, size * 2
         high = min(n, i + size)
         while low < n and low + 1 < high:
             mid = (low + high) // 2
-            seg = _poly(k, f, i, mid, degree)
+            seg = _poly(k, f, i, mid, degree, t)
             if seg[5] <= t:
                 good, low = seg, mid
             else:
@@ -214,7 +288,7 @@ def sliding_bottom_up(k: np.ndarray, f: np.ndarray, t: float, buffer: int = 60)
 
 METHODS: dict[str, Callable[[np.ndarray, np.ndarray, float, int], list[Segment]]] = {
     "poly": greedy,
-    "pla": lambda k, f, t, d: greedy(k, f, t, 1),
+    "pla": lambda k, f, t, d: optimal_lines(k, f, t),
     "cone": lambda k, f, t, d: cone(k, f, t),
     "spline": lambda k, f, t, d: spline(k, f, t),
     "bottom_up": lambda k, f, t, d: bottom_up(k, f),
@@ -222,16 +296,33 @@ METHODS: dict[str, Callable[[np.ndarray, np.ndarray, float, int], list[Segment]]
 }
 
 
+def measure_lines(k: np.ndarray, v: np.ndarray, t: float) -> list[Segment]:
+    """The least number of lines that stay within t of the measure at each key."""
+    out, i, n = [], 0, len(k)
+    xs, ys = k.tolist(), v.tolist()
+    while i < n:
+        corridor, j = Corridor(), i
+        while j < n and corridor.take(xs[j] - xs[i], ys[j] - t, ys[j] + t):
+            j += 1
+        slope, base = corridor.line() if j > i + 1 else (0.0, ys[i])
+        err = float(np.abs(base + slope * (k[i:j] - k[i]) - v[i:j]).max())
+        out.append((i, j, np.array([base, slope]), xs[i], 1.0, err))
+        i = j
+    return out
+
+
 def measure_segments(k: np.ndarray, v: np.ndarray, t: float, degree: int) -> list[Segment]:
     """Greedy segments of a raw measure for maxima: within t of the value at each key, and between
     keys nowhere more than t above the larger neighbour."""
+    if degree == 1:
+        return measure_lines(k, v, t)
     out, i, n = [], 0, len(k)
 
     def fit(i: int, j: int) -> Segment:
         x, y = k[i:j], v[i:j]
         centre, scale = float((x[0] + x[-1]) / 2), float(max((x[-1] - x[0]) / 2, 1e-12))
         z = (x - centre) / scale
-        coef = np.pad(minimax(z, y, min(degree, j - i - 1)), (0, max(0, degree + 1 - (j - i))))
+        coef = np.pad(minimax(z, y, min(degree, j - i - 1), t=t), (0, max(0, degree + 1 - (j - i))))
         err = np.abs(np.polynomial.polynomial.polyval(z, coef) - y).max()
         if degree > 1 and j - i > 1:
             roots = np.roots(np.trim_zeros(np.polynomial.polynomial.polyder(coef)[::-1], "f"))

@@ -7,11 +7,14 @@ a bucket.  The cuts steer the work alone: results don't depend on them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Buckets of a table hold about so many rows; their number is bounded by what a search tree of comparisons can take.
+BUCKET_ROWS, LEAST, MOST = 1_000_000, 16, 256
 
 
 def clean(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
@@ -21,21 +24,25 @@ def clean(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     return out.where(F.col("key").isNotNull() & ~F.isnan("key"))
 
 
-def cuts(df: DataFrame, column: str = "key", buckets: int = BUCKETS) -> list[float]:
-    """Approximate quantiles of a column, sorted and distinct: at most `buckets` - 1 numbers."""
-    found = df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 1000)).first()[0]
-    return sorted(set(found or []))
+def cuts(df: DataFrame, column: str = "key", buckets: int | None = None) -> list[float]:
+    """Approximate quantiles of a column, sorted and distinct: `buckets` - 1 numbers at most, or as many as the
+    rows call for."""
+    most = buckets or MOST
+    n, found = df.agg(F.count(column), F.percentile_approx(column, [i / most for i in range(1, most)], 4 * most)).first()
+    step = 1 if buckets else max(1, most // max(LEAST, min(most, -(-n // BUCKET_ROWS))))
+    return sorted(set((found or [])[step - 1 :: step]))
 
 
-def bucket_of(key: Column, bounds: list[float]) -> Column:
-    """How many bounds are at most `key`, by a search tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
+def bucket_of(key: str, bounds: list[float], leaf: Callable[[int], str] = str) -> Column:
+    """How many bounds are at most the column `key`, by a search tree of comparisons; with `leaf`, the SQL
+    that it gives for that number."""
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return leaf(lo)
         mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return f"CASE WHEN `{key}` < {float(bounds[mid])!r}D THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return tree(0, len(bounds))
+    return F.expr(tree(0, len(bounds)))
 
 
 def cumulative(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
@@ -43,8 +50,8 @@ def cumulative(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     of its rows, rank counts distinct keys from 0, f and s accumulate n and total up to and with it."""
     rows = clean(df, key, value)
     bounds = cuts(rows)
-    rows = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total")).withColumn("bucket", bucket_of(F.col("key"), bounds))
-    over = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # at most BUCKETS rows
+    rows = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total")).withColumn("bucket", bucket_of("key", bounds))
+    over = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # at most MOST rows
     base = lambda c: F.coalesce(F.sum(c).over(over), F.lit(0))
     sums = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("total").alias("t"))
     sums = sums.select("bucket", base("k").alias("k0"), base("n").alias("n0"), base("t").cast("double").alias("t0"))
@@ -66,13 +73,13 @@ def asof(probes: DataFrame, table: DataFrame, at: str = "at", key: str = "key",
     bounds = cuts(table, key)
     left = probes.select(F.struct(*probes.columns).alias("probe"), F.lit(None).cast(table.select(F.struct("*")).schema[0].dataType).alias("row"), F.col(at).cast("double").alias("k"))
     right = table.select(F.lit(None).cast(left.schema["probe"].dataType).alias("probe"), F.struct(*table.columns).alias("row"), F.col(key).cast("double").alias("k"))
-    both = left.union(right).withColumn("bucket", F.when(F.col("k").isNotNull(), bucket_of(F.col("k"), bounds)))
+    both = left.union(right).withColumn("bucket", F.when(F.col("k").isNotNull(), bucket_of("k", bounds)))
     first_on_ties = F.col("probe").isNull() if inclusive != forward else F.col("probe").isNotNull()
     order = [F.col("k"), F.when(first_on_ties, 0).otherwise(1)]
     pick, edge = (F.first, F.min_by) if forward else (F.last, F.max_by)
     frame = (0, W.unboundedFollowing) if forward else (W.unboundedPreceding, 0)
     near = pick("row", ignorenulls=True).over(W.partitionBy("bucket").orderBy(*order).rowsBetween(*frame))
-    ends = right.withColumn("bucket", bucket_of(F.col("k"), bounds)).groupBy("bucket").agg(edge("row", "k").alias("end"))
+    ends = right.withColumn("bucket", bucket_of("k", bounds)).groupBy("bucket").agg(edge("row", "k").alias("end"))
     every = probes.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("bucket"))
     beside = (1, W.unboundedFollowing) if forward else (W.unboundedPreceding, -1)
     ends = every.join(ends, "bucket", "left").select("bucket", pick("end", ignorenulls=True).over(W.orderBy("bucket").rowsBetween(*beside)).alias("end"))

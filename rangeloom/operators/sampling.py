@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..tables import small
+from .exact import box_count, ranges_per_group
 
 
 def unit_hash(row_id: Column, salt: str = "") -> Column:
@@ -20,13 +21,15 @@ def bernoulli(rows: DataFrame, row_id: str, share: float, salt: str = "s") -> Da
     return rows.where(unit_hash(F.col(row_id), salt) < share)
 
 
-def subsampled_count(queries: DataFrame, rows: DataFrame, row_id: str, share: float, subsamples: int = 100, inside: Column | None = None, confidence: float = 0.9) -> DataFrame:
-    """(qid, estimate, low, high) of COUNT by variational subsampling: each sampled row falls into one
-    subsample; subsample counts are scaled up, their trimmed mean is the estimate and their spread,
-    shrunk by the subsample's share of the sample, the interval."""
-    inside = inside if inside is not None else F.col("key").between(F.col("lo"), F.col("hi"))
+def subsampled_count(queries: DataFrame, rows: DataFrame, row_id: str, share: float, subsamples: int = 100, confidence: float = 0.9) -> DataFrame:
+    """(qid, estimate, low, high) of COUNT by variational subsampling, over closed ranges of rows (key) or closed
+    boxes of points (k1, k2): each sampled row falls into one subsample; subsample counts are scaled up, their
+    trimmed mean is the estimate and their spread, shrunk by the subsample's share of the sample, the interval."""
     sample = bernoulli(rows, row_id, share).withColumn("sid", F.floor(unit_hash(F.col(row_id), "sid") * subsamples).cast("int"))
-    hit = sample.join(small(queries), inside).groupBy("qid", "sid").agg(F.count("*").alias("c"))
+    if "k1" in rows.columns:
+        hit = box_count(queries, sample.withColumn("value", F.lit(1.0)), group="sid").select("qid", "sid", F.col("count").alias("c"))
+    else:
+        hit = ranges_per_group(sample, queries, "key", None, "sid").select("qid", F.col("grp").alias("sid"), F.col("count").alias("c"))
     every = queries.select("qid", F.explode(F.sequence(F.lit(0), F.lit(subsamples - 1))).alias("sid"))
     scaled = every.join(hit, ["qid", "sid"], "left").select("qid", (F.coalesce("c", F.lit(0)) * (subsamples / share)).alias("c"))
     tail = (1 - confidence) / 2
@@ -46,6 +49,8 @@ def sequential_count(queries: DataFrame, rows: DataFrame, row_id: str, absolute:
     """(qid, drawn, estimate, stopped) of COUNT by sequential sampling: rows are drawn in the order of a hash until
     relative * max(hits, n * absolute / N) >= z * sqrt(n * variance); `most` draws end it, and `stopped` says
     whether the rule was met.  The draws of all queries are the same `most` rows."""
+    if inside is None and "k1" in rows.columns:
+        inside = F.col("k1").between(F.col("lo1"), F.col("hi1")) & F.col("k2").between(F.col("lo2"), F.col("hi2"))
     inside = inside if inside is not None else F.col("key").between(F.col("lo"), F.col("hi"))
     total = rows.count()
     drawn = rows.withColumn("u", unit_hash(F.col(row_id), "seq")).where(F.col("u") < min(1.0, 2.0 * most / max(total, 1))).orderBy("u", row_id).limit(most)

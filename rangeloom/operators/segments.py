@@ -98,11 +98,11 @@ def on_splits(table: DataFrame, splits: DataFrame, degree: int = 1, measure: str
 
 
 def refit_errors(segments: DataFrame, table: DataFrame, degree: int, measure: str = "f") -> DataFrame:
-    """(key, mse, std, max_error): residuals of a segment table at its keys."""
+    """(key, mse, std, max_error, worst): residuals of a segment table at its keys, and the key of the largest."""
     from ..functions.columns import horner
     from .keyspace import asof
 
     found = asof(table.select(F.col("key").alias("at"), F.col(measure).cast("double").alias("v")), segments)
     x = (F.col("at") - F.col("hit.centre")) / F.col("hit.scale")
-    off = found.select("hit.key", (horner(F.col("hit.coef"), x, degree) - F.col("v")).alias("r"))
-    return off.groupBy("key").agg(F.avg(F.col("r") * F.col("r")).alias("mse"), F.stddev_samp("r").alias("std"), F.max(F.abs("r")).alias("max_error"))
+    off = found.select("hit.key", "at", (horner(F.col("hit.coef"), x, degree) - F.col("v")).alias("r"))
+    return off.groupBy("key").agg(F.avg(F.col("r") * F.col("r")).alias("mse"), F.stddev_samp("r").alias("std"), F.max(F.abs("r")).alias("max_error"), F.max_by("at", F.abs("r")).alias("worst"))

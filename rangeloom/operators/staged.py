@@ -59,14 +59,18 @@ def predict(probes: DataFrame, models: DataFrame, fanouts: tuple[int, ...] = FAN
 
 
 def count_answers(queries: DataFrame, models: DataFrame, table: DataFrame, fanouts: tuple[int, ...] = FANOUTS, replace_above: float | None = None) -> DataFrame:
-    """(qid, approx) over (lo, hi]; leaves whose error is above `replace_above` are replaced by the exact function."""
+    """(qid, approx, bound, replaced) over (lo, hi]; leaves whose error is above `replace_above` are replaced by the
+    exact function.  The bound adds the errors of the leaves at both ends, it holds for ends that are keys;
+    `replaced` counts the ends answered exactly."""
     from .keyspace import asof
 
     ends = queries.select("qid", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(-1.0).alias("sign")), F.struct(F.col("hi").alias("at"), F.lit(1.0).alias("sign")))).alias("e"))
-    found = predict(ends.select("qid", "e.at", "e.sign"), models, fanouts)
+    found = predict(ends.select("qid", "e.at", "e.sign"), models, fanouts).withColumn("own", F.lit(False))
     if replace_above is not None:
-        found = asof(found, table).withColumn("guess", F.when(F.col("max_error") > replace_above, F.coalesce("hit.f", F.lit(0)).cast("double")).otherwise(F.col("guess")))
-    return found.groupBy("qid").agg(F.sum(F.col("sign") * F.col("guess")).alias("approx"))
+        found = asof(found.withColumn("own", F.col("max_error") > replace_above), table)
+        found = found.withColumn("guess", F.when(F.col("own"), F.coalesce("hit.f", F.lit(0)).cast("double")).otherwise(F.col("guess")))
+    bound = F.when(F.col("own"), 0.0).otherwise(F.col("max_error"))
+    return found.groupBy("qid").agg(F.sum(F.col("sign") * F.col("guess")).alias("approx"), F.sum(bound).alias("bound"), F.sum(F.col("own").cast("int")).alias("replaced"))
 
 
 def bucket_map(table: DataFrame, models: DataFrame, fanouts: tuple[int, ...] = FANOUTS) -> DataFrame:

@@ -89,9 +89,9 @@ def quadrants(lattice: DataFrame, t: float, degree: int = 2, grid: int = 64, sta
     steps = spark.range(grid // size)
     open_ = steps.select((F.col("id") * size).cast("int").alias("i0")).crossJoin(steps.select((F.col("id") * size).cast("int").alias("j0"))).withColumn("size", F.lit(size))
     while True:
-        inside = F.col("i").between(F.col("i0"), F.col("i0") + F.col("size")) & F.col("j").between(F.col("j0"), F.col("j0") + F.col("size"))
-        held = lattice.join(small(open_), inside)
-
+        # the quadrants a lattice point lies in follow from its numbers: one, or two along an axis on a border
+        starts = lambda c: F.explode(F.when((F.col(c) % size == 0) & F.col(c).between(size, grid - size), F.array(F.col(c) - size, F.col(c))).otherwise(F.array(F.least(F.floor(F.col(c) / size) * size, F.lit(grid - size)).cast("int"))))  # noqa: E731,B023
+        held = lattice.withColumn("i0", starts("i")).withColumn("j0", starts("j")).join(small(open_), ["i0", "j0"])
         fits = keep(held.groupBy("i0", "j0").applyInPandas(_fitter(level, degree, kind), MODEL), "quadrants")
         fine = fits.where((F.col("loss") <= t) | (F.col("size") <= 1))
         done = fine if done is None else done.union(fine)
@@ -101,24 +101,27 @@ def quadrants(lattice: DataFrame, t: float, degree: int = 2, grid: int = 64, sta
         half = (F.col("size") / 2).cast("int")
         quarter = F.explode(F.array(*[F.struct((F.col("i0") + a * half).alias("i0"), (F.col("j0") + b * half).alias("j0")) for a in (0, 1) for b in (0, 1)]))
         open_ = rest.select(quarter.alias("q"), half.alias("size")).select("q.i0", "q.j0", "size")
-        level += 1
+        level, size = level + 1, size // 2
 
 
-def model_value(degree: int, kind: str = "tensor"):
-    """The value of a joined model at lattice point (i, j)."""
-    x = 2 * (F.col("i") - F.col("i0")) / F.col("size") - 1
-    y = 2 * (F.col("j") - F.col("j0")) / F.col("size") - 1
+def model_value(degree: int, kind: str = "tensor", i: str = "i", j: str = "j"):
+    """The value of a joined model at lattice place (i, j)."""
+    x = 2 * (F.col(i) - F.col("i0")) / F.col("size") - 1
+    y = 2 * (F.col(j) - F.col("j0")) / F.col("size") - 1
     c = lambda k: F.col("coef")[k]
     if kind == "quadratic":
         return c(0) + c(1) * x + c(2) * x * x + c(3) * y + c(4) * y * y + c(5) * x * y
     return tensor(F.col("coef"), x, y, degree)
 
 
-def located(at: DataFrame, models: DataFrame, grid: int) -> DataFrame:
-    """Rows with lattice points (i, j) and the one model of each: quadrants are half open, but for
-    the domain's upper borders, so that every point has exactly one."""
-    low = lambda c, o: (F.col(c) >= F.col(o)) & ((F.col(c) < F.col(o) + F.col("size")) | ((F.col(c) == grid) & (F.col(o) + F.col("size") == grid)))
-    return at.join(small(models), low("i", "i0") & low("j", "j0"))
+def located(at: DataFrame, models: DataFrame, grid: int, i: str = "i", j: str = "j") -> DataFrame:
+    """Rows with lattice places (i, j), which may lie between lattice points, and the one model of each: quadrants
+    are half open, but for the domain's upper borders, so that every place has exactly one.  A place names its
+    quadrant at each size, so the join is on equal numbers."""
+    sizes = [grid >> k for k in range(grid.bit_length()) if grid >> k]
+    start = lambda c: F.greatest(F.lit(0), F.least(F.floor(F.col(c) / F.col("size")) * F.col("size"), F.lit(grid) - F.col("size"))).cast("int")
+    each = at.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("i0", start(i)).withColumn("j0", start(j))
+    return each.join(small(models), ["size", "i0", "j0"])
 
 
 def corners(queries: DataFrame) -> DataFrame:
@@ -143,3 +146,44 @@ def exact_boxes(queries: DataFrame, lattice: DataFrame) -> DataFrame:
 def prediction_surface(lattice: DataFrame, models: DataFrame, degree: int, grid: int, kind: str = "tensor") -> DataFrame:
     """(i, j, f, value): the model's value at each lattice point."""
     return located(lattice, models, grid).select("i", "j", "f", model_value(degree, kind).alias("value"))
+
+
+def raw_corners(queries: DataFrame, box: tuple[float, float, float, float], grid: int) -> DataFrame:
+    """(qid, sign, u, v) of boxes (qid, lo1, lo2, hi1, hi2) of keys: corners as places on the lattice, inside the domain."""
+    low1, high1, low2, high2 = box
+    place = lambda c, low, high: F.greatest(F.lit(0.0), F.least(F.lit(float(grid)), (F.col(c) - low) / ((high - low) / grid or 1.0)))
+    corner = lambda a, b, s: F.struct(place(a, low1, high1).alias("u"), place(b, low2, high2).alias("v"), F.lit(s).alias("sign"))
+    every = F.array(corner("hi1", "hi2", 1.0), corner("lo1", "lo2", 1.0), corner("lo1", "hi2", -1.0), corner("hi1", "lo2", -1.0))
+    return queries.where("lo1 <= hi1 AND lo2 <= hi2").select("qid", F.explode(every).alias("c")).select("qid", "c.*")
+
+
+def raw_box_answers(queries: DataFrame, models: DataFrame, degree: int, grid: int, box: tuple[float, float, float, float], kind: str = "tensor") -> DataFrame:
+    """(qid, approx, bound) of COUNT over boxes of keys, corners anywhere: (lo1, hi1] x (lo2, hi2].
+
+    Between lattice points nothing holds a model to the surface, but the surface never falls: a corner's value
+    lies between those of the lattice points below and above it, which the models know within their errors."""
+    ends = raw_corners(queries, box, grid).withColumn("corner", F.monotonically_increasing_id())
+    low = lambda c: F.floor(c)
+    high = lambda c: F.least(F.floor(c) + 1, F.lit(grid))
+    where = F.array(*[F.struct(F.lit(name).alias("at"), f("u").cast("double").alias("i"), f("v").cast("double").alias("j")) for name, f in (("place", F.col), ("low", low), ("high", high))])
+    ends = keep(ends.withColumn("w", F.explode(where)).select("qid", "sign", "corner", "w.*"), "corners")
+    value = model_value(degree, kind)
+    found = located(ends, models, grid).select("qid", "sign", "corner", "at", value.alias("value"), "loss")
+    at = lambda name, e: F.max(F.when(F.col("at") == name, e))
+    one = found.groupBy("qid", "sign", "corner").agg(at("place", F.col("value")).alias("value"), at("low", F.col("value") - F.col("loss")).alias("least"), at("high", F.col("value") + F.col("loss")).alias("most"))
+    one = one.withColumn("value", F.greatest("least", F.least("most", "value")))
+    off = F.greatest(F.col("most") - F.col("value"), F.col("value") - F.col("least"))
+    total = one.groupBy("qid").agg(F.sum(F.col("sign") * F.col("value")).alias("approx"), F.sum(off).alias("bound"))
+    return queries.select("qid").join(total, "qid", "left").select("qid", F.coalesce("approx", F.lit(0.0)).alias("approx"), F.coalesce("bound", F.lit(0.0)).alias("bound"))
+
+
+def boxes_with_refinement(queries: DataFrame, rough: DataFrame, points: DataFrame, relative: float) -> DataFrame:
+    """(qid, approx, bound, certified, answer): of `rough` (qid, approx, bound) what isn't certified to the relative
+    error takes the exact count of `points` in (lo1, hi1] x (lo2, hi2]."""
+    from ..functions.columns import certified
+    from .exact import box_count
+
+    rough = keep(rough.withColumn("certified", F.coalesce(certified(F.col("approx"), F.col("bound"), relative), F.lit(False))), "rough")
+    open_ = queries.join(small(rough.where("NOT certified").select("qid")), "qid", "left_semi")
+    exact = box_count(open_, points, closed=False).select("qid", F.col("count").alias("exact"))
+    return rough.join(exact, "qid", "left").withColumn("answer", F.coalesce(F.col("exact").cast("double"), F.col("approx"))).drop("exact")

@@ -44,3 +44,12 @@ def boxes(first: DataFrame, second: DataFrame, queries: int = 100) -> DataFrame:
     a, b = (F.col("id") * 31 + 5) % max(n, 1), (F.col("id") * 17 + 1) % max(n, 1)
     two = _at_ranks(second, ids.select(F.col("id").alias("qid"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
     return one.join(two.select("qid", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "qid")
+
+
+def boxes_by_selectivity(first: DataFrame, second: DataFrame, queries: int = 50, selectivities: tuple[float, ...] = SELECTIVITIES) -> DataFrame:
+    """(qid, selectivity, lo1, hi1, lo2, hi2): boxes over a fixed share of the distinct keys of both axes together,
+    the root of it on each."""
+    sides = tuple(s**0.5 for s in selectivities)
+    one = ranges_by_selectivity(first, queries, sides).select("qid", (F.col("selectivity") * F.col("selectivity")).alias("selectivity"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = ranges_by_selectivity(second, queries, sides).select("qid", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    return one.join(two, "qid")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import certified, horner, region_max
 from ..operators.exact import by_cumulative, by_scan
 from ..operators.keyspace import asof
-from ..tables import small
+from ..tables import keep, small
 
 
 def cumulative_answers(queries: DataFrame, segments: DataFrame, degree: int) -> DataFrame:
@@ -41,16 +41,21 @@ def count_with_refinement(queries: DataFrame, segments: DataFrame, table: DataFr
 
 
 def max_answers(queries: DataFrame, segments: DataFrame, degree: int) -> DataFrame:
-    """(qid, approx, bound): the largest exact maximum of covered segments and the largest
-    model maximum of the partly covered ones, which are at most two; null over no keys."""
-    inside = (F.col("key") >= F.col("lo")) & (F.col("key_hi") <= F.col("hi"))
-    touch = (F.col("key") <= F.col("hi")) & (F.col("key_hi") >= F.col("lo"))
+    """(qid, approx, bound): the largest exact maximum of the segments between both ends and the largest model
+    maximum of the segments at the ends, which two as-of lookups find; null over no keys."""
+    asked = queries.where("lo <= hi").select("qid", "lo", "hi")
+    low = asof(asked.withColumn("at", F.col("lo")), segments).select("qid", "lo", "hi", "hit")
+    high = asof(asked.withColumn("at", F.col("hi")), segments).select("qid", "lo", "hi", "hit")
+    ends = keep(low.union(high).distinct().where("hit IS NOT NULL").select("qid", "lo", "hi", "hit.*"), "ends")
     z = lambda c: (c - F.col("centre")) / F.col("scale")
+    inside = (F.col("key") >= F.col("lo")) & (F.col("key_hi") <= F.col("hi"))
     edge = region_max(F.col("coef"), z(F.greatest("lo", "key")), z(F.least("hi", "key_hi")), degree)
-    hit = queries.join(small(segments), touch)
-    best = F.max_by(F.when(inside, 0.0).otherwise(F.col("loss")), F.when(inside, F.col("seg_max")).otherwise(edge))
-    found = hit.groupBy("qid").agg(F.max(F.when(inside, F.col("seg_max")).otherwise(edge)).alias("approx"), F.max(F.when(inside, 0.0).otherwise(F.col("loss"))).alias("bound"), best.alias("own_bound"))
-    return queries.select("qid").join(found.drop("own_bound"), "qid", "left")
+    touched = ends.where("key_hi >= lo AND key <= hi").select("qid", F.when(inside, F.col("seg_max")).otherwise(edge).alias("value"), F.when(inside, 0.0).otherwise(F.col("loss")).alias("off"))
+    # the segments between: they start behind lo and end before the one that holds hi
+    between = asked.join(ends.groupBy("qid").agg(F.max("key").alias("last")), "qid").select("qid", "lo", F.col("last").alias("hi"))
+    middle = by_scan(between, segments.select("key", F.col("seg_max").alias("value")), closed=False, open_end=True).where(F.col("max").isNotNull()).select("qid", F.col("max").alias("value"), F.lit(0.0).alias("off"))
+    found = touched.union(middle).groupBy("qid").agg(F.max("value").alias("approx"), F.max("off").alias("bound"))
+    return queries.select("qid").join(found, "qid", "left")
 
 
 def max_with_refinement(queries: DataFrame, segments: DataFrame, rows: DataFrame, degree: int, relative: float) -> DataFrame:

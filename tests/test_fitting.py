@@ -27,12 +27,40 @@ def check(segs, k, f, t):
 
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=60), st.lists(st.integers(1, 30), min_size=1, max_size=60))
-@pytest.mark.parametrize("method,degree", [("poly", 1), ("poly", 3), ("cone", 1), ("spline", 1), ("sliding", 1)])
+@pytest.mark.parametrize("method,degree", [("poly", 1), ("poly", 3), ("cone", 1), ("spline", 1), ("sliding", 1), ("pla", 1)])
 def test_promises_hold_between_keys(method, degree, keys, counts):
     k, f = staircase(keys, counts)
     check(fitting.METHODS[method](k, f, 35.0, degree), k, f, 35.0)
 
 
+def least_error(x, y):
+    """The least largest residual of any line, by trying the slope of every pair of points."""
+    a, b = np.triu_indices(len(x), 1)
+    slopes = [(y[j] - y[i]) / (x[j] - x[i]) for i, j in zip(a, b) if x[j] != x[i]] or [0.0]
+    return min(np.ptp(y - s * x) / 2 for s in slopes)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=2, max_size=40), st.lists(st.integers(1, 40), min_size=1, max_size=40), st.sampled_from([3.0, 20.0, 60.0]))
+def test_optimal_lines_are_as_long_as_any_line(keys, counts, t):
+    k, f = staircase(keys, counts)
+    segs = fitting.optimal_lines(k, f, t)
+    check(segs, k, f, t)
+    for i, j, *_ in segs:
+        if j < len(k):
+            assert least_error(*fitting.steps(k, f, i, j + 1)) > t - 1e-9
+    assert len(segs) <= len(fitting.greedy(k, f, t, 1)) and len(segs) <= len(fitting.cone(k, f, t))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.floats(-500, 500), min_size=2, max_size=40))
+def test_lines_of_a_measure_are_as_long_as_any_line(values):
+    k, v = np.arange(float(len(values))), np.array(values)
+    for i, j, _, _, _, err in fitting.measure_lines(k, v, 50.0):
+        assert err <= 50 + 1e-6
+        assert j == len(k) or least_error(k[i : j + 1], v[i : j + 1]) > 50 - 1e-6
+
+
 def test_bottom_up_covers_and_measures():
     k, f = staircase(range(0, 300, 3), [1, 5, 2])
     segs = fitting.bottom_up(k, f)
