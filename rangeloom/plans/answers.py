@@ -34,7 +34,7 @@ def clamp_to_domain(queries: DataFrame, table: DataFrame) -> DataFrame:
 def count_with_refinement(queries: DataFrame, segments: DataFrame, table: DataFrame, degree: int, relative: float, measure: str = "count") -> DataFrame:
     """(qid, approx, bound, certified, answer): uncertified queries take the exact answer."""
     rough = cumulative_answers(clamp_to_domain(queries, table), segments, degree)
-    rough = rough.withColumn("certified", F.coalesce(certified(F.col("approx"), F.col("bound"), relative), F.lit(False)))
+    rough = keep(rough.withColumn("certified", F.coalesce(certified(F.col("approx"), F.col("bound"), relative), F.lit(False))), "rough")
     open_ids = rough.where(~F.col("certified")).select("qid")
     exact = by_cumulative(queries.join(small(open_ids), "qid", "left_semi"), table).select("qid", F.col(measure).alias("exact"))
     return rough.join(exact, "qid", "left").withColumn("answer", F.coalesce(F.col("exact").cast("double"), F.col("approx"))).drop("exact")
@@ -62,7 +62,7 @@ def max_with_refinement(queries: DataFrame, segments: DataFrame, rows: DataFrame
     """(qid, approx, bound, certified, answer) of maxima; uncertified ones are refined over rows (key, value)."""
     rough = max_answers(queries, segments, degree)
     sure = (F.col("bound") == 0) | certified(F.col("approx"), F.col("bound"), relative)
-    rough = rough.withColumn("certified", F.coalesce(sure, F.lit(False)))
+    rough = keep(rough.withColumn("certified", F.coalesce(sure, F.lit(False))), "rough")
     exact = by_scan(queries.join(small(rough.where(~F.col("certified")).select("qid")), "qid", "left_semi"), rows).select("qid", F.col("max").alias("exact"))
     return rough.join(exact, "qid", "left").withColumn("answer", F.when(F.col("certified"), F.col("approx")).otherwise(F.col("exact"))).drop("exact")
 
