@@ -245,9 +245,9 @@ def _blocks(rows: DataFrame, weight: str, limit: int, deal: int) -> DataFrame:
     return left.union(right).drop("xs", "ys").withColumn("deal", F.pmod(F.xxhash64("band", "x", "y"), F.lit(max(1, -(-total // deal)))))
 
 
-def _pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """For every block of a deal and outsider of it with likely partners in it: the outsider's and its
-    partners' positions in `rows`.  A pair that shares an earlier band is left to that one."""
+def _pairs(rows: pd.DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """For every block of a deal: its outsiders with likely partners in it, and those partners, as positions in
+    `rows`.  A pair that shares an earlier band is left to that one."""
     regs = np.frombuffer(b"".join(rows.regs), np.uint16).reshape(-1, REGISTERS)
     bands = band_keys(regs)
     own_band = (bands == rows.band.to_numpy()[:, None]).argmax(1)
@@ -256,7 +256,7 @@ def _pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     key = rows[["band", "x", "y"]].to_numpy()[order]
     ends = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))), len(order))
     for a, b in zip(ends, ends[1:]):
-        block = order[a:b]
+        block, found = order[a:b], []
         held = block[~left[block]]
         for i in block[left[block]]:
             # of two outsiders the smaller one finds the other
@@ -266,29 +266,54 @@ def _pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
             if len(j) and own_band[i]:
                 j = j[~(bands[j, : own_band[i]] == bands[i, : own_band[i]]).any(1)]
             if len(j):
-                yield i, j
+                found.append((i, j))
+        if found:
+            yield found
 
 
 def _promising(rows: pd.DataFrame) -> pd.DataFrame:
     """The rows of a deal that have a likely partner in their block."""
     hit = np.zeros(len(rows), bool)
-    for i, j in _pairs(rows):
-        hit[i] = hit[j] = True
+    for found in _pairs(rows):
+        for i, j in found:
+            hit[i] = hit[j] = True
     return rows.loc[hit, ["band", "doc", "component", "n", "outside", "regs"]]
 
 
+def common(sets: list[np.ndarray], first: int, columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of the first `first` sets with the others: products of incidence matrices,
+    some shared elements at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[element] > 1
+    owner, element = owner[shared], number[element[shared]]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    columns = max(64, min(columns, (1 << 24) // len(sets)))
+    out = np.zeros((first, len(sets) - first), np.float32)
+    for a in range(0, int((times > 1).sum()), columns):
+        lo, hi = np.searchsorted(element, [a, a + columns])
+        held = np.zeros((len(sets), columns), np.float32)
+        held[owner[lo:hi], element[lo:hi] - a] = 1
+        out += held[:first] @ held[first:].T
+    return out.astype(np.int64)
+
+
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one deal: confirmed links of outsiders with members of other components."""
-    doc, n = rows.doc.to_numpy(), rows["set"].map(len).to_numpy() // 8
-    known: dict[int, np.ndarray] = {}
-    full = lambda i: known[i] if i in known else known.setdefault(i, np.frombuffer(rows["set"].iat[i], np.uint64))
+    doc = rows.doc.to_numpy()
+    held = rows["set"].to_list()
     out: list[tuple[int, int]] = []
-    for i, j in _pairs(rows):
-        mine = full(i)
-        theirs = np.concatenate([full(x) for x in j])
-        slot = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-        both = np.add.reduceat(mine[slot] == theirs, np.cumsum(n[j]) - n[j])
-        out += [(min(doc[i], doc[x]), max(doc[i], doc[x])) for x in j[100 * both >= THRESHOLD_PERCENT * (n[i] + n[j] - both)]]
+    for found in _pairs(rows):
+        ours, theirs = np.array([i for i, _ in found]), np.unique(np.concatenate([j for _, j in found]))
+        sets = [np.frombuffer(held[x], np.uint64) for x in (*ours, *theirs)]
+        size = np.array([len(x) for x in sets])
+        both = common(sets, len(ours))
+        union = size[: len(ours), None] + size[None, len(ours) :] - both
+        for r, (i, j) in enumerate(found):
+            c = np.searchsorted(theirs, j)
+            out += [(min(doc[i], doc[x]), max(doc[i], doc[x])) for x in j[100 * both[r, c] >= THRESHOLD_PERCENT * union[r, c]]]
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
@@ -354,7 +379,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hopeful = _blocks(open_, "one", BLOCK, DEAL_ROWS).groupBy("deal").applyInPandas(_promising, member_row)
     hopeful = stash(hopeful.dropDuplicates(["band", "doc"]), "promising")
     held = _fetch(docs, hopeful.select(F.col("doc").alias("doc_id"))).withColumnRenamed("doc_id", "doc")
-    deals = _blocks(hopeful.join(held, "doc"), "n", BLOCK_SHINGLES, DEAL_SHINGLES)
+    # a small set counts as 256 shingles, so that a block never holds more than BLOCK sets
+    deals = _blocks(hopeful.join(held, "doc").withColumn("weight", F.greatest("n", F.lit(BLOCK_SHINGLES // BLOCK))), "weight", BLOCK_SHINGLES, DEAL_SHINGLES)
     more = stash(deals.groupBy("deal").applyInPandas(_across, "u long, v long").distinct(), "links")
     if not more.isEmpty():
         found = components(more.union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))

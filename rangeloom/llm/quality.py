@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Words, list_array, mix, slices, windows
+from .words import Words, mix, slices, windows
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -201,10 +201,8 @@ def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for a, b, w in slices(batch.column("text")):
             _, row, _, x = measure(w)
-            lines = np.bincount(row, minlength=w.rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column("quality")[a:b]), list_array(x.ravel(), lines * x.shape[1])], names=["quality", "x"]
-            )
+            parts = np.split(x, np.searchsorted(row, np.arange(1, w.rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("quality")[a:b]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["quality", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_lines: int = TRAIN_LINES):
@@ -216,11 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     # `train_rows` rows at most; a long document ends the sample, its length alone never keeps it out
     before = F.sum("lines").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1))
     chosen = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("lines") <= train_lines))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id").select("quality", "text").mapInArrow(_line_features, "quality int, x array<double>").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id").select("quality", "text").mapInArrow(_line_features, "quality int, x binary").collect()
     rows = [r for r in rows if r.x]
     if len({int(r.quality > 0) for r in rows}) < 2:
         return None
-    xs = [np.array(r.x).reshape(-1, len(FEATURES)) for r in rows]
+    xs = [np.frombuffer(r.x).reshape(-1, len(FEATURES)) for r in rows]
     owner = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
     y = np.array([int(r.quality > 0) for r in rows])[owner]
     return train_chain(owner, np.concatenate(xs), y)

@@ -1,36 +1,8 @@
-"""Tables written between the rounds of a job.
-
-They go below the folder that the cluster names in spark.checkpoint.dir, so every
-executor can read them again after another one is lost.  Where the setting is
-missing, as in tests, a folder on this machine takes its place.
-"""
+"""Tables written between the rounds of a job, under the names the operators use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_fallback: dict[str, str] = {}
-
-
-def folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _fallback.setdefault("at", tempfile.mkdtemp(prefix="rangeloom-"))
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and fixes its rows."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from ..tables import is_small
+from ..tables import keep as stash
 
-def is_small(df: DataFrame, limit: int = 200_000) -> bool:
-    """Whether a written table holds at most `limit` rows (counted, not estimated)."""
-    return df.limit(limit + 1).count() <= limit
+__all__ = ["is_small", "stash"]

@@ -139,10 +139,3 @@ def slices(column: pa.Array, limit: int = CHUNK_BYTES, gap: np.ndarray = SPACE)
         b = max(a + 1, int(np.searchsorted(at, at[a] + limit, side="right")) - 1)
         yield a, b, Words(data[at[a] : at[b]], at[a : b + 1] - at[a], gap)
         a = b
-
-
-def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-    """Rows of variable length from their concatenated values."""
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
