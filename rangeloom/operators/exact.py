@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import small
-from .keyspace import asof, bucket_of, clean, cuts
+from ..tables import keep, small
+from .keyspace import COARSE, FINE, asof, bucket_of, clean, coded, cuts
 
-#: Buckets of about equal size, and parts of equal width in each: what a range covers is looked up there.
-COARSE, FINE = 64, 256
 #: Cells along each axis of the grid that boxes are looked up in.
 CELLS = 64
 
 
 def by_cumulative(queries: DataFrame, table: DataFrame, closed: bool = False) -> DataFrame:
     """(qid, count, sum) over (lo, hi], or [lo, hi] if closed, by two as-of lookups a query."""
+    table = table.select("key", "f", "s")
     low = queries.select("qid", F.col("lo").alias("at"), F.lit(-1).alias("sign"))
     high = queries.select("qid", F.col("hi").alias("at"), F.lit(1).alias("sign"))
     if closed:
@@ -28,25 +25,6 @@ def by_cumulative(queries: DataFrame, table: DataFrame, closed: bool = False) ->
     return found.groupBy("qid").agg(part("f").alias("count"), part("s").alias("sum"))
 
 
-def _coded(rows: DataFrame, key: str, coarse: int = COARSE, fine: int = FINE) -> Callable[[str], Column]:
-    """A function from a column of keys to the number of the part each is in: coarse buckets between approximate
-    quantiles, each cut into `fine` parts of equal width.  It never falls as the key rises."""
-    bounds = cuts(rows, key, coarse)
-    first, last = rows.agg(F.min(key), F.max(key)).first()
-    if first is None:
-        return lambda name: F.lit(0)
-    edges = [float(x) for x in (first, *bounds, last)]
-
-    def code(name: str) -> Column:
-        def leaf(b: int) -> str:
-            width = edges[b + 1] - edges[b]
-            return f"{b * fine} + CAST(least(greatest(floor((`{name}` - {edges[b]!r}D) * {fine / width!r}D), 0), {fine - 1}) AS INT)" if width > 0 and fine > 1 else str(b * fine)
-
-        return bucket_of(name, bounds, leaf).cast("int")
-
-    return code
-
-
 def _parts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("value").alias("s"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
 
@@ -61,10 +39,10 @@ def by_scan(queries: DataFrame, rows: DataFrame, closed: bool = True, open_end:
     Whole coarse buckets of a range are answered from one summary row each, whole parts of its first and last
     bucket as well; only the rows of the two parts at its ends are joined, on the part's number.  A range
     without rows has count 0 and null elsewhere."""
-    code = _coded(rows, "key")
+    code = coded(rows, "key")
     rows = rows.withColumn("part", code("key"))
     asked = queries.where("lo <= hi").select("qid", "lo", "hi", code("lo").alias("a"), code("hi").alias("b"))
-    fine = _parts(rows, ["part"])  # COARSE * FINE rows at most
+    fine = keep(_parts(rows, ["part"]), "parts")  # COARSE * FINE rows at most
     coarse = _merged(fine.withColumn("bucket", F.floor(F.col("part") / FINE)), ["bucket"])
     between = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
     first, last = F.floor(F.col("a") / FINE), F.floor(F.col("b") / FINE)
@@ -116,7 +94,7 @@ def ranges_per_group(df: DataFrame, queries: DataFrame, key: str, value: str | N
     name = F.col(group).alias("grp")
     keyed = df.select(F.col(key).cast("double").alias("key"), (F.col(value) if value else F.lit(1.0)).cast("double").alias("value"), name)
     keyed = keyed.where(F.col("key").isNotNull() & ~F.isnan("key"))
-    code = _coded(keyed, "key", COARSE, 1)
+    code = coded(keyed, "key", COARSE, 1)
     keyed = keyed.withColumn("part", code("key"))
     asked = queries.where("lo <= hi").select("qid", "lo", "hi", code("lo").alias("a"), code("hi").alias("b"))
     whole = asked.where("b - a > 1").select("qid", F.explode(F.sequence(F.col("a") + 1, F.col("b") - 1)).alias("part"))

@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import is_small, keep
+
 #: Buckets of a table hold about so many rows; their number is bounded by what a search tree of comparisons can take.
 BUCKET_ROWS, LEAST, MOST = 1_000_000, 16, 256
+#: Buckets of about equal size, and parts of equal width in each, that lookups of a few probes or ranges go by.
+COARSE, FINE = 64, 256
+FEW_PROBES = 10_000
 
 
 def clean(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
@@ -65,12 +70,27 @@ def cumulative(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     )
 
 
-def asof(probes: DataFrame, table: DataFrame, at: str = "at", key: str = "key", inclusive: bool = True, forward: bool = False) -> DataFrame:
-    """Each row of `probes` with `hit`, the row of `table` that has the last key <= `at` (< if not inclusive;
-    with `forward` the first key >= or > `at`); null where there is none.  Keys of `table` are distinct.
-    Spark SQL has no such join: both sides are merged in key order, bucket by bucket, and each
-    bucket is handed the nearest row of the ones beside it."""
-    bounds = cuts(table, key)
+def coded(rows: DataFrame, key: str, coarse: int = COARSE, fine: int = FINE) -> Callable[[str], Column]:
+    """A function from a column of keys to the number of the part each is in: coarse buckets between approximate
+    quantiles, each cut into `fine` parts of equal width.  It never falls as the key rises."""
+    first, last, found = rows.agg(F.min(key), F.max(key), F.percentile_approx(key, [i / coarse for i in range(1, coarse)], 4 * coarse)).first()
+    if first is None:
+        return lambda name: F.lit(0)
+    bounds = sorted(set(found))
+    edges = [float(x) for x in (first, *bounds, last)]
+
+    def code(name: str) -> Column:
+        def leaf(b: int) -> str:
+            width = edges[b + 1] - edges[b]
+            return f"{b * fine} + CAST(least(greatest(floor((`{name}` - {edges[b]!r}D) * {fine / width!r}D), 0), {fine - 1}) AS INT)" if width > 0 and fine > 1 else str(b * fine)
+
+        return bucket_of(name, bounds, leaf).cast("int")
+
+    return code
+
+
+def _merged(probes: DataFrame, table: DataFrame, at: str, key: str, inclusive: bool, forward: bool, bounds: list[float]) -> DataFrame:
+    """Both sides merged in key order, bucket by bucket; each bucket is handed the nearest row of the ones beside it."""
     left = probes.select(F.struct(*probes.columns).alias("probe"), F.lit(None).cast(table.select(F.struct("*")).schema[0].dataType).alias("row"), F.col(at).cast("double").alias("k"))
     right = table.select(F.lit(None).cast(left.schema["probe"].dataType).alias("probe"), F.struct(*table.columns).alias("row"), F.col(key).cast("double").alias("k"))
     both = left.union(right).withColumn("bucket", F.when(F.col("k").isNotNull(), bucket_of("k", bounds)))
@@ -88,6 +108,33 @@ def asof(probes: DataFrame, table: DataFrame, at: str = "at", key: str = "key",
     return found.select("probe.*", hit.alias("hit"))
 
 
+def _looked_up(probes: DataFrame, table: DataFrame, at: str, key: str, inclusive: bool, forward: bool) -> DataFrame:
+    """A few probes, sent to the table: each meets the rows of its own part, and the last rows of the parts before it.
+    The table isn't shuffled."""
+    asked = probes.select(F.struct(*probes.columns).alias("probe"), F.col(at).cast("double").alias("k"), F.monotonically_increasing_id().alias("pid"))
+    asked = keep(asked, "probes")
+    code = coded(table, key)
+    rows = table.select(F.struct(*table.columns).alias("row"), F.col(key).cast("double").alias("k")).withColumn("part", code("k"))
+    pick, edge = (F.min_by, F.min) if forward else (F.max_by, F.max)
+    # COARSE * FINE rows at most; keys are compared first, as numbers combine by hashing, whole rows by sorting
+    last = rows.groupBy("part").agg(edge("k").alias("e"))
+    ends = keep(rows.join(F.broadcast(last.select("e")), F.col("k") == F.col("e")).select("row.*"), "ends")
+    mine = asked.where("k IS NOT NULL AND NOT isnan(k)").withColumn("part", code("k")).select("pid", F.col("k").alias("p"), "part")
+    near = {(False, True): "k <= p", (False, False): "k < p", (True, True): "k >= p", (True, False): "k > p"}[forward, inclusive]
+    own = rows.join(F.broadcast(mine), "part").where(near).groupBy("pid").agg(pick("row", "k").alias("own"))
+    far = _merged(asked, ends, "k", key, inclusive, forward, [])
+    return far.join(own, "pid", "left").select("probe.*", F.coalesce("own", "hit").alias("hit"))
+
+
+def asof(probes: DataFrame, table: DataFrame, at: str = "at", key: str = "key", inclusive: bool = True, forward: bool = False) -> DataFrame:
+    """Each row of `probes` with `hit`, the row of `table` that has the last key <= `at` (< if not inclusive;
+    with `forward` the first key >= or > `at`); null where there is none.  Keys of `table` are distinct.
+    Spark SQL has no such join: a few probes are sent to the table, many are merged with it in key order."""
+    if is_small(probes, FEW_PROBES):
+        return _looked_up(probes, table, at, key, inclusive, forward)
+    return _merged(probes, table, at, key, inclusive, forward, cuts(table, key))
+
+
 def spread(table: DataFrame) -> DataFrame:
     """`table` (key, rank, bucket...) with spread, the way to the next key; 1 for the last."""
     heads = table.groupBy("bucket").agg(F.min("key").alias("head"))

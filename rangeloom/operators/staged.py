@@ -67,7 +67,7 @@ def count_answers(queries: DataFrame, models: DataFrame, table: DataFrame, fanou
     ends = queries.select("qid", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(-1.0).alias("sign")), F.struct(F.col("hi").alias("at"), F.lit(1.0).alias("sign")))).alias("e"))
     found = predict(ends.select("qid", "e.at", "e.sign"), models, fanouts).withColumn("own", F.lit(False))
     if replace_above is not None:
-        found = asof(found.withColumn("own", F.col("max_error") > replace_above), table)
+        found = asof(found.withColumn("own", F.col("max_error") > replace_above), table.select("key", "f"))
         found = found.withColumn("guess", F.when(F.col("own"), F.coalesce("hit.f", F.lit(0)).cast("double")).otherwise(F.col("guess")))
     bound = F.when(F.col("own"), 0.0).otherwise(F.col("max_error"))
     return found.groupBy("qid").agg(F.sum(F.col("sign") * F.col("guess")).alias("approx"), F.sum(bound).alias("bound"), F.sum(F.col("own").cast("int")).alias("replaced"))

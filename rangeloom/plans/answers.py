@@ -42,11 +42,10 @@ def count_with_refinement(queries: DataFrame, segments: DataFrame, table: DataFr
 
 def max_answers(queries: DataFrame, segments: DataFrame, degree: int) -> DataFrame:
     """(qid, approx, bound): the largest exact maximum of the segments between both ends and the largest model
-    maximum of the segments at the ends, which two as-of lookups find; null over no keys."""
+    maximum of the segments at the ends, which an as-of lookup finds; null over no keys."""
     asked = queries.where("lo <= hi").select("qid", "lo", "hi")
-    low = asof(asked.withColumn("at", F.col("lo")), segments).select("qid", "lo", "hi", "hit")
-    high = asof(asked.withColumn("at", F.col("hi")), segments).select("qid", "lo", "hi", "hit")
-    ends = keep(low.union(high).distinct().where("hit IS NOT NULL").select("qid", "lo", "hi", "hit.*"), "ends")
+    both = asof(asked.withColumn("at", F.explode(F.array_distinct(F.array("lo", "hi")))), segments)
+    ends = keep(both.select("qid", "lo", "hi", "hit").distinct().where("hit IS NOT NULL").select("qid", "lo", "hi", "hit.*"), "ends")
     z = lambda c: (c - F.col("centre")) / F.col("scale")
     inside = (F.col("key") >= F.col("lo")) & (F.col("key_hi") <= F.col("hi"))
     edge = region_max(F.col("coef"), z(F.greatest("lo", "key")), z(F.least("hi", "key_hi")), degree)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rangeloom.functions import columns
-from rangeloom.operators import blocks, exact, histogram, segments, staged, surface
+from rangeloom.operators import blocks, exact, histogram, keyspace, segments, staged, surface
 from rangeloom.operators.keyspace import asof, clean, cumulative, spread
 from rangeloom.operators.workload import ranges
 from rangeloom.plans import answers
@@ -66,13 +66,15 @@ def test_exact_ways_agree(rows, table, queries, closed):
             assert one[q] == len(want)
 
 
-def test_asof_has_one_match_at_most(spark, table):
-    probes = spark.createDataFrame([(i, float(i * 7 - 100)) for i in range(90)] + [(999, None)], "id long, at double")
+@pytest.mark.parametrize("few", [0, 10_000])  # merged with the table, or sent to it
+def test_asof_has_one_match_at_most(spark, table, monkeypatch, few):
+    monkeypatch.setattr(keyspace, "FEW_PROBES", few)
+    probes = spark.createDataFrame([(i, float(i * 7 - 100)) for i in range(90)] + [(999, None), (998, float("nan"))], "id long, at double")
     keys = sorted(r.key for r in table.collect())
     for inclusive in (True, False):
         for forward in (True, False):
             found = {r.id: r.hit.key if r.hit else None for r in asof(probes, table, inclusive=inclusive, forward=forward).collect()}
-            assert len(found) == 91 and found.pop(999) is None
+            assert len(found) == 92 and found.pop(999) is None and found.pop(998) == (None if forward else keys[-1])
             for i, hit in found.items():
                 at = i * 7 - 100
                 ok = [k for k in keys if ((k >= at if inclusive else k > at) if forward else (k <= at if inclusive else k < at))]
@@ -177,3 +179,58 @@ def test_equi_lookup_probes_every_key(spark, tmp_path):
     spark.createDataFrame([(float(i % 40), 1.0) for i in range(100)], "l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = sorted(tuple(r) for r in QUERIES["j02_equi_lookup"](spark, str(tmp_path)).select("key", "rank", "n").collect())
     assert got == [(float(i), i, 3 if i < 20 else 2) for i in range(40)]
+
+
+def test_boxes_agree_with_brute_force(spark):
+    rng = random.Random(9)
+    pts = [(float(rng.randrange(40)), float(rng.randrange(60)), float(rng.randrange(-5, 5))) for _ in range(700)] + [(5.0, 5.0, 1.0)] * 300
+    asked = [(i, *sorted((float(rng.randrange(-5, 45)), float(rng.randrange(-5, 45)))), *sorted((float(rng.randrange(-5, 65)), float(rng.randrange(-5, 65))))) for i in range(40)] + [(90, 5.0, 5.0, 5.0, 5.0), (91, 9.0, 3.0, 0.0, 50.0), (92, -9.0, 99.0, -9.0, 99.0)]
+    points = spark.createDataFrame(pts, "k1 double, k2 double, value double")
+    queries = spark.createDataFrame(asked, "qid long, lo1 double, hi1 double, lo2 double, hi2 double")
+    inside = {q: [v for a, b, v in pts if l1 <= a <= h1 and l2 <= b <= h2] for q, l1, h1, l2, h2 in asked}
+    want = {q: (len(v), max(v, default=None)) for q, v in inside.items()}
+    assert {r.qid: (r["count"], r["max"]) for r in exact.box_count(queries, points, 8).collect()} == want
+    half_open = {q: sum(l1 < a <= h1 and l2 < b <= h2 for a, b, _ in pts) for q, l1, h1, l2, h2 in asked}
+    assert {r.qid: r["count"] for r in exact.box_count(queries, points, 8, closed=False).collect()} == half_open
+    held = keep(blocks.box_leaves(points, 8), "leaves")
+    tree = keep(blocks.box_summary(held, 8), "tree")
+    assert {r.qid: (r["count"], r["max"]) for r in blocks.box_aggregate(queries, tree, held).collect()} == want
+    levels = set()
+    for r in blocks.box_progressive(queries, tree, held, 0.3).collect():
+        levels.add(r.level)
+        assert r.low <= want[r.qid][0] <= r.high and r.low <= r.estimate <= r.high and (r.high <= 1.3 * r.low or r.low == r.high)
+    assert len(levels) > 1
+    box = surface.domain(points)
+    models = keep(surface.quadrants(surface.surface(points, 16, box), 5.0, 2, 16), "models")
+    rough = surface.raw_box_answers(queries, models, 2, 16, box)
+    for r in surface.boxes_with_refinement(queries, rough, points, 0.2).collect():
+        assert abs(r.approx - half_open[r.qid]) <= r.bound + 1e-6
+        assert abs(r.answer - half_open[r.qid]) <= (0.2 * half_open[r.qid] + 1e-6 if r.certified else 0)
+
+
+def test_removed_rows_go_once_each_and_nulls_match(spark):
+    rows = spark.createDataFrame([(1.0, None), (1.0, None), (2.0, 3.0), (2.0, 3.0), (4.0, 5.0)], "k double, v double")
+    gone = spark.createDataFrame([(None, 1.0), (3.0, 2.0), (9.0, 9.0)], "v double, k double")
+    assert sorted((r.k, r.v or 0) for r in blocks.remove(rows, gone).collect()) == [(1.0, 0), (2.0, 3.0), (4.0, 5.0)]
+
+
+def test_trees_are_checked_when_they_are_read(spark, table, rows, tmp_path):
+    tree = blocks.summary(blocks.keyed(clean(rows, "k", "v"), table), fanout=8)
+    blocks.save(tree, f"{tmp_path}/tree")
+    assert blocks.load(spark, f"{tmp_path}/tree").count() == tree.count() == blocks.size(tree).first().nodes
+    spark.range(3).write.parquet(f"{tmp_path}/other")
+    with pytest.raises(ValueError):
+        blocks.load(spark, f"{tmp_path}/other")
+
+
+def test_maxima_of_any_degree(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-3, 3) for _ in range(d + 1)], -1.0, rng.uniform(-0.5, 1), d) for d in (1, 2, 3, 4, 5) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, coef array<double>, lo double, hi double, d int")
+    for d in (1, 2, 3, 4, 5):
+        got = {r.id: r.m for r in df.where(F.col("d") == d).select("id", columns.region_max(F.col("coef"), F.col("lo"), F.col("hi"), d).alias("m")).collect()}
+        for i, c, lo, hi, k in rows:
+            if k == d:
+                assert got[i] == pytest.approx(np.polynomial.polynomial.polyval(np.linspace(lo, hi, 20_001), c).max(), abs=1e-4)
