@@ -114,18 +114,14 @@ def matches(docs: DataFrame, phrases: dict[str, str], templates: dict[str, str])
     longer = (F.col("k") == SHORT) | (F.col("w2") == F.col("t2")) & (F.col("w3") == F.col("t3"))
     # bounded by MAX_TEMPLATE_WORDS
     hit = at.join(F.broadcast(grams), (F.xxhash64("w0", "w1") == F.col("key")) & same & longer, "left")
-    # positions of one diagonal are distinct unless the row is repeated
-    return hit.groupBy("doc_id", "txt", "tpl", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.size(F.collect_set("tpos")).cast("long").alias("votes"),
-        F.min("tpos").alias("low"),
-        F.max("tpos").alias("high"),
-        F.min("pos").alias("first"),
-        F.max("pos").alias("last"),
-        F.first("label", True).alias("label"),
-        F.first("base", True).alias("base"),
-        F.first("len", True).alias("len"),
-        F.first("k", True).alias("k"),
+    # numbers alone, so that rows combine by hashing; a repeated row sets the same bits once more
+    longest = max(r[5] for r in gram_rows(phrases, templates))
+    bits = [F.bit_or(F.expr(f"CASE WHEN tpos div 64 = {n} THEN shiftleft(1L, CAST(tpos % 64 AS INT)) END")) for n in range(longest // 64 + 1)]
+    votes = sum((F.coalesce(F.bit_count(b), F.lit(0)) for b in bits[1:]), F.coalesce(F.bit_count(bits[0]), F.lit(0)))
+    found = hit.groupBy("doc_id", "txt", "tpl", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
+        votes.cast("long").alias("votes"), F.min("tpos").alias("low"), F.max("tpos").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )
+    return found.join(F.broadcast(grams.select("tpl", "label", "base", "len", "k").distinct()), "tpl", "left")
 
 
 def _telling(docs: DataFrame, wanted: DataFrame) -> DataFrame:
