@@ -320,7 +320,7 @@ def _(spark, d):
 
 # ---- staged models, ensembles
 
-_RMI = (1, 10, 100)
+_FANOUTS = (1, 10, 100)
 
 
 def _staged(fanouts: tuple[int, ...]) -> Query:
@@ -335,7 +335,7 @@ def _staged(fanouts: tuple[int, ...]) -> Query:
     return run
 
 
-_query("a17_staged_count", _EXACT_WITHIN)(_staged(_RMI))
+_query("a17_staged_count", _EXACT_WITHIN)(_staged(_FANOUTS))
 _query("b12_four_stages", _EXACT_WITHIN)(_staged((1, 10, 100, 1000)))
 
 
@@ -344,9 +344,9 @@ def _(spark, d):
     """Leaves above the median error are replaced: such ends are exact, the others keep their leaf's error."""
     t = _price(spark, d)
     q = ranges(t)
-    models = keep(staged.train(t, _RMI), "staged")
-    middle = models.where(F.col("stage") == len(_RMI) - 1).agg(F.median("max_error")).first()[0] or 0.0
-    found = keep(staged.count_answers(q, models, t, _RMI, replace_above=middle), "answers")
+    models = keep(staged.train(t, _FANOUTS), "staged")
+    middle = models.where(F.col("stage") == len(_FANOUTS) - 1).agg(F.median("max_error")).first()[0] or 0.0
+    found = keep(staged.count_answers(q, models, t, _FANOUTS, replace_above=middle), "answers")
     truth = exact.by_cumulative(q, t).select("qid", F.col("count").cast("long").alias("exact"))
     mixed = found.agg((F.max("replaced") == 2).alias("some"), (F.min("replaced") == 0).alias("none")).select((F.col("some") & F.col("none")).alias("mixed"))
     kept = (F.abs(F.col("approx") - F.col("exact")) <= F.col("bound") + 1e-6) & (F.col("bound") <= 2 * middle + 1e-6) & ((F.col("replaced") < 2) | (F.col("approx") == F.col("exact")))
@@ -364,7 +364,7 @@ s1 AS ({_STAGE.format(m='m1', t='r1')}), r2 AS (SELECT key, {_NEXT.format(models
 SELECT bucket, count(*) AS keys, min(key) AS lo, max(key) AS hi FROM r2 GROUP BY 1""")
 def _(spark, d):
     t = _price(spark, d)
-    return staged.bucket_map(t, keep(staged.train(t, _RMI), "staged"), _RMI).groupBy("bucket").agg(F.count("*").alias("keys"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    return staged.bucket_map(t, keep(staged.train(t, _FANOUTS), "staged"), _FANOUTS).groupBy("bucket").agg(F.count("*").alias("keys"), F.min("key").alias("lo"), F.max("key").alias("hi"))
 
 
 @_query("b17_tree_ensemble", _EXACT_WITHIN)
