@@ -54,13 +54,11 @@ TEMPLATES = {
     "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed the gnu general public license is a free copyleft license for software and other kinds of works": "gpl",
     "you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
     "you can redistribute it and or modify it under the terms of the gnu library general public license": "lgpl",
-    "you can redistribute it and or modify it under the terms of the gnu affero general public license": "agpl",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl",
     "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl",
     "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
     "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
