@@ -90,19 +90,20 @@ def coded(rows: DataFrame, key: str, coarse: int = COARSE, fine: int = FINE) ->
 
 
 def _merged(probes: DataFrame, table: DataFrame, at: str, key: str, inclusive: bool, forward: bool, bounds: list[float]) -> DataFrame:
-    """Both sides merged in key order, bucket by bucket; each bucket is handed the nearest row of the ones beside it."""
+    """Both sides merged in key order, bucket by bucket; each bucket is handed the nearest row of the ones beside it.
+    Forward lookups go through the keys downwards: a frame that ends at the current row grows with it, one that
+    starts there is gone through anew for every row."""
     left = probes.select(F.struct(*probes.columns).alias("probe"), F.lit(None).cast(table.select(F.struct("*")).schema[0].dataType).alias("row"), F.col(at).cast("double").alias("k"))
     right = table.select(F.lit(None).cast(left.schema["probe"].dataType).alias("probe"), F.struct(*table.columns).alias("row"), F.col(key).cast("double").alias("k"))
     both = left.union(right).withColumn("bucket", F.when(F.col("k").isNotNull(), bucket_of("k", bounds)))
-    first_on_ties = F.col("probe").isNull() if inclusive != forward else F.col("probe").isNotNull()
-    order = [F.col("k"), F.when(first_on_ties, 0).otherwise(1)]
-    pick, edge = (F.first, F.min_by) if forward else (F.last, F.max_by)
-    frame = (0, W.unboundedFollowing) if forward else (W.unboundedPreceding, 0)
-    near = pick("row", ignorenulls=True).over(W.partitionBy("bucket").orderBy(*order).rowsBetween(*frame))
+    first_on_ties = F.col("probe").isNull() if inclusive else F.col("probe").isNotNull()
+    order = [F.col("k").desc() if forward else F.col("k"), F.when(first_on_ties, 0).otherwise(1)]
+    edge = F.min_by if forward else F.max_by
+    near = F.last("row", ignorenulls=True).over(W.partitionBy("bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     ends = right.withColumn("bucket", bucket_of("k", bounds)).groupBy("bucket").agg(edge("row", "k").alias("end"))
     every = probes.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("bucket"))
-    beside = (1, W.unboundedFollowing) if forward else (W.unboundedPreceding, -1)
-    ends = every.join(ends, "bucket", "left").select("bucket", pick("end", ignorenulls=True).over(W.orderBy("bucket").rowsBetween(*beside)).alias("end"))
+    beside = W.orderBy(F.desc("bucket") if forward else F.asc("bucket")).rowsBetween(W.unboundedPreceding, -1)
+    ends = every.join(ends, "bucket", "left").select("bucket", F.last("end", ignorenulls=True).over(beside).alias("end"))
     found = both.withColumn("near", near).where(F.col("probe").isNotNull()).join(F.broadcast(ends), "bucket", "left")
     hit = F.when(F.col("k").isNotNull(), F.coalesce("near", "end"))
     return found.select("probe.*", hit.alias("hit"))

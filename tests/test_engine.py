@@ -81,6 +81,13 @@ def test_asof_has_one_match_at_most(spark, table, monkeypatch, few):
                 assert hit == ((min(ok) if forward else max(ok)) if ok else None)
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_no_lookup_goes_through_the_rest_of_a_bucket_for_every_row(spark, table, monkeypatch, forward):
+    monkeypatch.setattr(keyspace, "FEW_PROBES", 0)
+    plan = asof(spark.range(50).selectExpr("id", "id * 1.0D AS at"), table, forward=forward)._jdf.queryExecution().toString()
+    assert "unboundedpreceding$()" in plan and "unboundedfollowing$()" not in plan
+
+
 @pytest.mark.parametrize("method,degree", [("poly", 2), ("cone", 1), ("spline", 1), ("sliding", 1), ("bottom_up", 1)])
 def test_answers_keep_their_bound_everywhere(table, queries, method, degree):
     segs = keep(segments.build(table, method, 15.0, degree, block=64), "segments")
