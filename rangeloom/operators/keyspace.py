@@ -17,6 +17,8 @@ from ..tables import is_small, keep
 
 #: Buckets of a table hold about so many rows; their number is bounded by what a search tree of comparisons can take.
 BUCKET_ROWS, LEAST, MOST = 1_000_000, 16, 256
+#: The same for lookups, whose buckets hold rows of both sides whole.
+MERGED_ROWS = 250_000
 #: Buckets of about equal size, and parts of equal width in each, that lookups of a few probes or ranges go by.
 COARSE, FINE = 64, 256
 FEW_PROBES = 10_000
@@ -29,13 +31,18 @@ def clean(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     return out.where(F.col("key").isNotNull() & ~F.isnan("key"))
 
 
+def _thinned(found: list[float] | None, n: int, rows: int) -> list[float]:
+    """Of MOST - 1 quantiles of n rows as many as make buckets of `rows` rows."""
+    step = max(1, MOST // max(LEAST, min(MOST, -(-n // rows))))
+    return sorted(set((found or [])[step - 1 :: step]))
+
+
 def cuts(df: DataFrame, column: str = "key", buckets: int | None = None) -> list[float]:
     """Approximate quantiles of a column, sorted and distinct: `buckets` - 1 numbers at most, or as many as the
     rows call for."""
     most = buckets or MOST
     n, found = df.agg(F.count(column), F.percentile_approx(column, [i / most for i in range(1, most)], 4 * most)).first()
-    step = 1 if buckets else max(1, most // max(LEAST, min(most, -(-n // BUCKET_ROWS))))
-    return sorted(set((found or [])[step - 1 :: step]))
+    return sorted(set(found or [])) if buckets else _thinned(found, n, BUCKET_ROWS)
 
 
 def bucket_of(key: str, bounds: list[float], leaf: Callable[[int], str] = str) -> Column:
@@ -98,17 +105,38 @@ def _merged(probes: DataFrame, table: DataFrame, at: str, key: str, inclusive: b
     both = left.union(right).withColumn("bucket", F.when(F.col("k").isNotNull(), bucket_of("k", bounds)))
     first_on_ties = F.col("probe").isNull() if inclusive else F.col("probe").isNotNull()
     order = [F.col("k").desc() if forward else F.col("k"), F.when(first_on_ties, 0).otherwise(1)]
-    edge = F.min_by if forward else F.max_by
-    near = F.last("row", ignorenulls=True).over(W.partitionBy("bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    ends = right.withColumn("bucket", bucket_of("k", bounds)).groupBy("bucket").agg(edge("row", "k").alias("end"))
+    before = W.partitionBy("bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    near = F.last("row", ignorenulls=True).over(before)
+    # one row a bucket: keys are compared first, as numbers combine by hashing, whole rows by sorting
+    edge = F.min if forward else F.max
+    last = right.groupBy(bucket_of("k", bounds).alias("bucket")).agg(edge("k").alias("e"))
+    ends = right.join(F.broadcast(last), F.col("k") == F.col("e")).select("bucket", F.col("row").alias("end"))
     every = probes.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("bucket"))
     beside = W.orderBy(F.desc("bucket") if forward else F.asc("bucket")).rowsBetween(W.unboundedPreceding, -1)
-    ends = every.join(ends, "bucket", "left").select("bucket", F.last("end", ignorenulls=True).over(beside).alias("end"))
+    ends = every.join(F.broadcast(ends), "bucket", "left").select("bucket", F.last("end", ignorenulls=True).over(beside).alias("end"))
     found = both.withColumn("near", near).where(F.col("probe").isNotNull()).join(F.broadcast(ends), "bucket", "left")
     hit = F.when(F.col("k").isNotNull(), F.coalesce("near", "end"))
     return found.select("probe.*", hit.alias("hit"))
 
 
+def _many_merged(probes: DataFrame, table: DataFrame, at: str, key: str, inclusive: bool, forward: bool) -> DataFrame:
+    """As _merged(), in buckets that are cut by the rows of both sides, as probes may crowd where keys don't.
+    Probes that no cut can part, because they are alike, are looked up once a value; so are NaN."""
+    k = F.col(at).cast("double")
+    both = probes.select(k.alias("k")).union(table.select(F.col(key).cast("double")))
+    odd = F.col("k").isNull() | F.isnan("k")
+    n, none, found = both.agg(F.count("*"), F.count_if(odd), F.percentile_approx(F.when(~odd, F.col("k")), [i / MOST for i in range(1, MOST)], 4 * MOST)).first()
+    bounds = _thinned(found, n - none, MERGED_ROWS)
+    hot = sorted({a for a, b in zip(found or [], (found or [])[1:]) if a == b})
+    if not none and not hot:
+        return _merged(probes, table, at, key, inclusive, forward, bounds)
+    apart = k.isNull() | F.isnan(k) | k.isin(hot)
+    once = probes.sparkSession.createDataFrame([(v,) for v in (*hot, float("nan"))], "of double")
+    hits = _looked_up(once, table, "of", key, inclusive, forward)
+    alike = probes.where(apart).join(F.broadcast(hits), k == F.col("of"), "left").select(*[probes[c] for c in probes.columns], "hit")
+    return _merged(probes.where(~apart), table, at, key, inclusive, forward, bounds).union(alike)
+
+
 def _looked_up(probes: DataFrame, table: DataFrame, at: str, key: str, inclusive: bool, forward: bool) -> DataFrame:
     """A few probes, sent to the table: each meets the rows of its own part, and the last rows of the parts before it.
     The table isn't shuffled."""
@@ -133,7 +161,7 @@ def asof(probes: DataFrame, table: DataFrame, at: str = "at", key: str = "key",
     Spark SQL has no such join: a few probes are sent to the table, many are merged with it in key order."""
     if is_small(probes, FEW_PROBES):
         return _looked_up(probes, table, at, key, inclusive, forward)
-    return _merged(probes, table, at, key, inclusive, forward, cuts(table, key))
+    return _many_merged(probes, table, at, key, inclusive, forward)
 
 
 def spread(table: DataFrame) -> DataFrame:

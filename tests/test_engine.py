@@ -88,6 +88,31 @@ def test_no_lookup_goes_through_the_rest_of_a_bucket_for_every_row(spark, table,
     assert "unboundedpreceding$()" in plan and "unboundedfollowing$()" not in plan
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_no_bucket_of_a_lookup_holds_most_probes(spark, monkeypatch, forward):
+    monkeypatch.setattr(keyspace, "FEW_PROBES", 1000)
+    sizes, merged = [], keyspace._merged
+
+    def watched(probes, table, at, key, inclusive, forward, bounds):
+        sizes.extend(r["count"] for r in probes.groupBy(keyspace.bucket_of(at, bounds).alias("b")).count().collect())
+        return merged(probes, table, at, key, inclusive, forward, bounds)
+
+    monkeypatch.setattr(keyspace, "_merged", watched)
+    keys = spark.range(0, 2000, 2).selectExpr("double(id) AS key", "id AS rank")
+    # most probes are beyond all keys, many of the others are alike, null or NaN
+    at = "CASE WHEN id < 12000 THEN 5000D + id WHEN id < 15000 THEN 777D WHEN id < 17000 THEN NULL WHEN id < 17500 THEN double('NaN') WHEN id < 18000 THEN -3D - id ELSE id - 18000D END"
+    probes = spark.range(20_000).selectExpr("id", f"{at} AS at")
+    got = {r.id: r.hit.key if r.hit else None for r in asof(probes, keys, forward=forward).collect()}
+    assert len(got) == 20_000 and max(sizes) <= 20_000 // 8
+    for r in probes.collect():
+        if r.at is None or (forward and not r.at <= 1998) or (not forward and r.at < 0):
+            assert got[r.id] is None
+        elif forward:
+            assert got[r.id] == max(0.0, 2.0 * math.ceil(r.at / 2))
+        else:
+            assert got[r.id] == (2.0 * math.floor(r.at / 2) if r.at <= 1998 else 1998.0)
+
+
 @pytest.mark.parametrize("method,degree", [("poly", 2), ("cone", 1), ("spline", 1), ("sliding", 1), ("bottom_up", 1)])
 def test_answers_keep_their_bound_everywhere(table, queries, method, degree):
     segs = keep(segments.build(table, method, 15.0, degree, block=64), "segments")
