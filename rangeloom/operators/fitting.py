@@ -270,20 +270,96 @@ def bottom_up(k: np.ndarray, f: np.ndarray, t: float | None = None, start: int =
     return segs
 
 
+def _line_errors(k: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray, stop: np.ndarray, base: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """staircase_error() of many lines: rows a..b-1 each, of those that end before `stop`."""
+    at = np.minimum(a[:, None] + np.arange((b - a).max()), b[:, None] - 1)
+    y, first = f[at], k[a][:, None]
+    ends = (k[at], k[np.minimum(at + 1, stop[:, None] - 1)])
+    return np.maximum(*(np.abs(base[:, None] + slope[:, None] * (x - first) - y).max(1) for x in ends))
+
+
+def _ols_many(k: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base at the first key, slope and mean squared error of the least-squares lines of rows a..b-1 each."""
+    at, n = a[:, None] + np.arange((b - a).max()), b - a
+    held = at < b[:, None]
+    at = np.minimum(at, b[:, None] - 1)
+    x, y = k[at] - k[a][:, None], f[at]
+    mean = lambda c: (c * held).sum(1) / n
+    xm, ym = mean(x), mean(y)
+    dx = (x - xm[:, None]) * held
+    slope = np.where(n < 2, 0.0, (dx * (y - ym[:, None])).sum(1) / np.maximum((dx * dx).sum(1), 1e-300))
+    base = ym - slope * xm
+    return base, slope, mean((base[:, None] + slope[:, None] * x - y) ** 2)
+
+
+def _first_merged(k: np.ndarray, f: np.ndarray, i: np.ndarray, end: np.ndarray, t: float) -> np.ndarray:
+    """Where the first segment of bottom_up() with t over rows i..end-1 ends, for many buffers that are merged in step."""
+    width, lanes = int((end - i).max()), np.arange(len(i))
+    slot = np.arange(width)
+    stop = np.minimum(i[:, None] + slot + 1, end[:, None])  # a slot's segment ends there; merged slots are left alone
+    prev = np.tile(slot - 1, (len(i), 1))
+    cost = np.full((len(i), width), np.inf)
+
+    def price(lane: np.ndarray, s: np.ndarray) -> None:
+        """What it costs to merge the segments at slots s with the next ones."""
+        mid = stop[lane, s]
+        some = mid < end[lane]
+        cost[lane[~some], s[~some]] = np.inf
+        lane, s, mid = lane[some], s[some], mid[some]
+        if len(lane):
+            a, b = i[lane] + s, stop[lane, mid - i[lane]]
+            base, slope, square = _ols_many(k, f, a, b)
+            cost[lane, s] = np.where(_line_errors(k, f, a, b, end[lane], base, slope) <= t, square, np.inf)
+
+    lane, s = np.nonzero(i[:, None] + slot + 1 < end[:, None])
+    price(lane, s)
+    while len(lanes):
+        at = cost[lanes].argmin(1)
+        going = cost[lanes, at] < np.inf
+        lanes, at = lanes[going], at[going]
+        gone = stop[lanes, at] - i[lanes]
+        stop[lanes, at] = stop[lanes, gone]
+        cost[lanes, gone] = np.inf
+        after = stop[lanes, at] - i[lanes]
+        inner = stop[lanes, at] < end[lanes]
+        prev[lanes[inner], after[inner]] = at[inner]
+        has = at > 0
+        price(np.concatenate([lanes, lanes[has]]), np.concatenate([at, prev[lanes[has], at[has]]]))
+    return stop[:, 0]
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays one behind the other, with the first row and the end of each."""
+    ends = np.cumsum([len(p) for p in parts])
+    return np.concatenate(parts).astype(float), ends - [len(p) for p in parts], ends
+
+
+def sliding_many(ks: list[np.ndarray], fs: list[np.ndarray], t: float, buffer: int = 60) -> list[list[Segment]]:
+    """sliding_bottom_up() of many blocks, in step: numpy's cost a call is shared by all of them."""
+    k, first, last = _joined(ks)
+    f = _joined(fs)[0]
+    out: list[list[Segment]] = [[] for _ in ks]
+    lanes, i = np.flatnonzero(last > first), first[last > first]
+    while len(lanes):
+        stop = last[lanes]
+        end = np.minimum(stop, i + buffer)
+        b = _first_merged(k, f, i, end, t)
+        base, slope, _ = _ols_many(k, f, i, b)
+        err = _line_errors(k, f, i, b, stop, base, slope)
+        # the last step ends at a key that the buffer may not have held
+        cut = (err > t) & (b - i > 1) & (end < stop)
+        if cut.any():
+            b = b - cut
+            err = np.where(cut, _line_errors(k, f, i, b, stop, base, slope), err)
+        for lane, x, y, c, m, e in zip(lanes, i, b, np.stack([base, slope], 1), k[i], err):
+            out[lane].append((int(x - first[lane]), int(y - first[lane]), c, float(m), 1.0, float(e)))
+        lanes, i = lanes[b < stop], b[b < stop]
+    return out
+
+
 def sliding_bottom_up(k: np.ndarray, f: np.ndarray, t: float, buffer: int = 60) -> list[Segment]:
     """Bottom-up over a sliding buffer: its leftmost segment is final, then the buffer is refilled."""
-    out, i = [], 0
-    while i < len(k):
-        end = min(len(k), i + buffer)
-        a, b, coef, centre, scale, err = bottom_up(k[i:end], f[i:end], t)[0]
-        if end < len(k):  # the last step ends at a key that the buffer may not have held
-            err = staircase_error(k, f, i, i + b, coef, centre, scale)
-            if err > t and b > 1:
-                b -= 1
-                err = staircase_error(k, f, i, i + b, coef, centre, scale)
-        out.append((i, i + b, coef, centre, scale, err))
-        i += b
-    return out
+    return sliding_many([k], [f], t, buffer)[0]
 
 
 METHODS: dict[str, Callable[[np.ndarray, np.ndarray, float, int], list[Segment]]] = {
@@ -295,6 +371,9 @@ METHODS: dict[str, Callable[[np.ndarray, np.ndarray, float, int], list[Segment]]
     "sliding": lambda k, f, t, d: sliding_bottom_up(k, f, t),
 }
 
+#: Methods that fit many blocks in one call.
+TOGETHER: dict[str, Callable[[list[np.ndarray], list[np.ndarray], float], list[list[Segment]]]] = {"sliding": sliding_many}
+
 
 def measure_lines(k: np.ndarray, v: np.ndarray, t: float) -> list[Segment]:
     """The least number of lines that stay within t of the measure at each key."""
@@ -314,40 +393,132 @@ def measure_lines(k: np.ndarray, v: np.ndarray, t: float) -> list[Segment]:
 def measure_segments(k: np.ndarray, v: np.ndarray, t: float, degree: int) -> list[Segment]:
     """Greedy segments of a raw measure for maxima: within t of the value at each key, and between
     keys nowhere more than t above the larger neighbour."""
+    return measure_many([k], [v], t, degree)[0]
+
+
+def measure_many(ks: list[np.ndarray], vs: list[np.ndarray], t: float, degree: int) -> list[list[Segment]]:
+    """measure_segments() of many blocks.  From degree 2 on they go in step, as numpy's cost a call is then shared
+    by all of them: each block doubles and halves its segment on its own, the fits of a step are made at once."""
     if degree == 1:
-        return measure_lines(k, v, t)
-    out, i, n = [], 0, len(k)
+        return [measure_lines(k, v, t) for k, v in zip(ks, vs)]
+    k, first, last = _joined(ks)
+    v = _joined(vs)[0]
+    out: list[list[Segment]] = [[] for _ in ks]
+    lanes, i = np.flatnonzero(last > first), first[last > first]
+    # `low` ends the best fit so far, `high` is an end that did not fit, or -1
+    low, high, size = i + 1, np.full(len(i), -1), np.full(len(i), 2)
+    good = _alone(k, v, i, degree)
+    while len(lanes):
+        stop = last[lanes]
+        end = np.where(high < 0, np.minimum(stop, i + size), (low + high) // 2)
+        fitted = _measure_fits(k, v, i, end, t, degree)
+        ok = fitted[:, -1] <= t
+        good[ok] = fitted[ok]
+        low, high = np.where(ok, end, low), np.where(ok, high, end)
+        size = np.where(ok, size * 2, size)
+        done = np.where(high < 0, low == stop, low + 1 >= high)
+        if done.any():
+            for lane, a, b, g in zip(lanes[done], i[done], low[done], good[done]):
+                out[lane].append((int(a - first[lane]), int(b - first[lane]), g[:-3].copy(), float(g[-3]), float(g[-2]), float(g[-1])))
+            i = np.where(done, low, i)
+            left = i < stop
+            lanes, i, low, high, size, good, done = (c[left] for c in (lanes, i, low, high, size, good, done))
+            low[done], high[done], size[done] = i[done] + 1, -1, 2
+            good[done] = _alone(k, v, i[done], degree)
+    return out
 
-    def fit(i: int, j: int) -> Segment:
-        x, y = k[i:j], v[i:j]
-        centre, scale = float((x[0] + x[-1]) / 2), float(max((x[-1] - x[0]) / 2, 1e-12))
-        z = (x - centre) / scale
-        coef = np.pad(minimax(z, y, min(degree, j - i - 1), t=t), (0, max(0, degree + 1 - (j - i))))
-        err = np.abs(np.polynomial.polynomial.polyval(z, coef) - y).max()
-        if degree > 1 and j - i > 1:
-            roots = np.roots(np.trim_zeros(np.polynomial.polynomial.polyder(coef)[::-1], "f"))
-            at = roots[np.abs(roots.imag) < 1e-12].real
-            at = at[(at > z[0]) & (at < z[-1])]
-            if len(at):
-                m = np.clip(np.searchsorted(z, at, side="right") - 1, 0, j - i - 2)
-                err = max(err, (np.polynomial.polynomial.polyval(at, coef) - np.maximum(y[m], y[m + 1])).max())
-        return i, j, coef, centre, scale, float(err)
 
-    while i < n:
-        good, low, size = fit(i, i + 1), i + 1, 2
-        while low < n:
-            seg = fit(i, min(n, i + size))
-            if seg[5] > t:
-                break
-            good, low, size = seg, seg[1], size * 2
-        high = min(n, i + size)
-        while low < n and low + 1 < high:
-            mid = (low + high) // 2
-            seg = fit(i, mid)
-            if seg[5] <= t:
-                good, low = seg, mid
-            else:
-                high = mid
-        out.append(good)
-        i = good[1]
+def _alone(k: np.ndarray, v: np.ndarray, i: np.ndarray, degree: int) -> np.ndarray:
+    """Rows of coefficients, centre, scale and error for segments of one key."""
+    return np.column_stack([v[i], np.zeros((len(i), degree)), k[i], np.full(len(i), 1e-12), np.zeros(len(i))])
+
+
+def _measure_fits(k: np.ndarray, v: np.ndarray, i: np.ndarray, end: np.ndarray, t: float, degree: int) -> np.ndarray:
+    """Coefficients, centre, scale and error of one fit for rows i..end-1 each, made at once where lengths are alike."""
+    out = np.empty((len(i), degree + 4))
+    kind = np.digitize(end - i, [17, 129, 1025, 8193])
+    for which in np.unique(kind):
+        some = kind == which
+        a, b = i[some], end[some]
+        at = np.minimum(a[:, None] + np.arange((b - a).max()), b[:, None] - 1)  # the last row fills the lines up
+        x, y, n = k[at], v[at], b - a
+        centre, scale = (x[:, 0] + x[:, -1]) / 2, np.maximum((x[:, -1] - x[:, 0]) / 2, 1e-12)
+        z = (x - centre[:, None]) / scale[:, None]
+        coef = minimax_many(z, y, n, degree, t)
+        err = np.abs(_values(coef, z) - y).max(1)
+        near = np.flatnonzero(err <= t)
+        err[near] = np.maximum(err[near], _overshoot(coef[near], z[near], y[near], n[near]))
+        out[some] = np.column_stack([coef, centre, scale, err])
+    return out
+
+
+def _values(coef: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Each row's polynomial at its own z."""
+    out = np.zeros_like(z)
+    for c in coef.T[::-1]:
+        out = out * z + c[:, None]
     return out
+
+
+def minimax_many(z: np.ndarray, y: np.ndarray, n: np.ndarray, degree: int, t: float, rounds: int = 12) -> np.ndarray:
+    """minimax() with t of many rows, whose first n entries count and whose last one is repeated behind them.  The
+    weighted least squares go by polynomials orthogonal over a row's own weights, so no system is solved."""
+    held = np.arange(z.shape[1]) < n[:, None]
+    w = held / n[:, None]
+    best, least, open_ = np.zeros((len(z), degree + 1)), np.full(len(z), np.inf), np.arange(len(z))
+    for _ in range(rounds):
+        coef, fit = np.zeros((len(z), degree + 1)), np.zeros_like(z)
+        p, q, norm_q = np.ones_like(z), np.zeros_like(z), np.ones(len(z))
+        pc, qc = np.zeros_like(coef), np.zeros_like(coef)
+        pc[:, 0] = 1
+        for d in range(degree + 1):
+            wp = w * p
+            norm = np.einsum("ij,ij->i", wp, p)
+            use = (n > d) & (norm > 1e-26)
+            norm = np.where(use, norm, 1.0)
+            c = np.where(use, np.einsum("ij,ij->i", wp, y - fit) / norm, 0.0)
+            fit = fit + c[:, None] * p
+            coef += c[:, None] * pc
+            if d < degree:
+                alpha, beta = np.einsum("ij,ij,ij->i", wp, p, z) / norm, norm / norm_q if d else np.zeros(len(z))
+                p, q = (z - alpha[:, None]) * p - beta[:, None] * q, p
+                up = np.zeros_like(pc)
+                up[:, 1:] = pc[:, :-1]
+                pc, qc, norm_q = up - alpha[:, None] * pc - beta[:, None] * qc, pc, norm
+        r = y - fit
+        middle = (r.max(1) + r.min(1)) / 2
+        coef[:, 0] += middle
+        far = np.abs(r - middle[:, None])
+        worst = far.max(1)
+        better = worst < least[open_]
+        best[open_[better]], least[open_[better]] = coef[better], worst[better]
+        total = (w * far).sum(1)
+        going = (least[open_] > t) & ((w * r * r).sum(1) <= 1.0001 * t * t) & (total > 0)
+        if not going.any():
+            break
+        w = np.where(held[going], w[going] * far[going] / total[going, None] + 1e-12, 0.0)
+        z, y, n, held, open_ = z[going], y[going], n[going], held[going], open_[going]
+    return best
+
+
+def _overshoot(coef: np.ndarray, z: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How far each row's polynomial rises above the larger neighbour at its stationary points between keys."""
+    slope = coef[:, 1:] * np.arange(1, coef.shape[1])
+    at = np.full((len(coef), slope.shape[1] - 1), np.nan)
+    plain = np.abs(slope[:, -1]) > 1e-9 * np.abs(slope).max(1, initial=0.0)
+    if plain.any():
+        monic = slope[plain, :-1] / slope[plain, -1:]
+        companion = np.zeros((len(monic), monic.shape[1], monic.shape[1])) + np.eye(monic.shape[1], k=-1)
+        companion[:, :, -1] = -monic
+        roots = np.linalg.eigvals(companion)
+        at[plain] = np.where(np.abs(roots.imag) < 1e-12, roots.real, np.nan)
+    for row in np.flatnonzero(~plain):
+        roots = np.roots(np.trim_zeros(slope[row][::-1], "f"))
+        real = roots[np.abs(roots.imag) < 1e-12].real
+        at[row, : len(real)] = real
+    inside = (at > z[:, :1]) & (at < z[:, -1:])
+    at = np.where(inside, at, 0.0)
+    # the padding repeats the last key, which no point inside reaches
+    step = np.clip((z[:, None, :] <= at[:, :, None]).sum(2) - 1, 0, np.maximum(n - 2, 0)[:, None])
+    top = np.maximum(np.take_along_axis(y, step, 1), np.take_along_axis(y, np.minimum(step + 1, z.shape[1] - 1), 1))
+    return np.where(inside, _values(coef, at) - top, -np.inf).max(1, initial=-np.inf)

@@ -1,7 +1,7 @@
 """Segment tables: compact models of a cumulative function or of a measure.
 
 The distinct keys are cut into blocks of `BLOCK` consecutive ranks, and every block is
-fitted on its own in one call.  A block costs one more segment at most than a fit
+fitted on its own.  A block costs one more segment at most than a fit
 across blocks, bounds hold by segment, and the result depends on ranks alone.
 """
 
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from . import fitting
 
 BLOCK = 8192
+#: Keys handed to Python at once, in whole blocks, where a fitter takes blocks in step.
+TOGETHER = 1 << 17
+#: Partitions that blocks are dealt into.
+PARTITIONS = 192
 SCHEMA = "key double, key_hi double, idx_lo long, idx_hi long, coef array<double>, centre double, scale double, loss double, seg_max double, n long"
 
 
@@ -32,12 +36,15 @@ def _rows(segs: list[fitting.Segment], part: pd.DataFrame, values: np.ndarray) -
     )
 
 
-def _by_block(table: DataFrame, fit: Callable[[pd.DataFrame], pd.DataFrame], block: int) -> DataFrame:
+def _by_block(table: DataFrame, fit: Callable[[list[pd.DataFrame]], list[pd.DataFrame]], block: int, lanes: int = 1) -> DataFrame:
     # each block also gets the first key of the next one, where its last step ends
     owned = table.withColumn("block", F.floor(F.col("rank") / block)).withColumn("guest", F.lit(False))
     guests = table.where((F.col("rank") % block == 0) & (F.col("rank") > 0)).withColumn("block", F.col("rank") / block - 1).withColumn("guest", F.lit(True))
     both = owned.unionByName(guests.withColumn("block", F.col("block").cast("long")))
-    return both.groupBy("block").applyInPandas(lambda part: fit(part.sort_values("rank")), SCHEMA)
+    split = lambda rows: [part for _, part in rows.sort_values(["block", "rank"]).groupby("block")]
+    # few bytes are much work here, so partitions aren't joined by their bytes
+    both = both.withColumn("chunk", F.floor(F.col("block") / lanes)).repartition(PARTITIONS, "chunk")
+    return both.groupBy("chunk").applyInPandas(lambda rows: pd.concat(fit(split(rows)), ignore_index=True), SCHEMA)
 
 
 def build(table: DataFrame, method: str = "poly", t: float = 100.0, degree: int = 1, measure: str = "f", block: int = BLOCK) -> DataFrame:
@@ -46,9 +53,16 @@ def build(table: DataFrame, method: str = "poly", t: float = 100.0, degree: int
         raise ValueError(f"method must be one of {sorted(fitting.METHODS)}")
     source = table.select("key", "rank", F.col(measure).cast("double").alias("v"))
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
+    def fit(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        own = [(p.key.to_numpy()[~p.guest], p.v.to_numpy()[~p.guest]) for p in parts]
+        if method in fitting.TOGETHER:
+            found = fitting.TOGETHER[method]([k for k, _ in own], [v for _, v in own], t)
+        else:
+            found = [fitting.METHODS[method](k, v, t, degree) for k, v in own]
+        return [closed(*both) for both in zip(parts, found)]
+
+    def closed(part: pd.DataFrame, segs: list[fitting.Segment]) -> pd.DataFrame:
         k, v, n = part.key.to_numpy(), part.v.to_numpy(), int((~part.guest).sum())
-        segs = fitting.METHODS[method](k[:n], v[:n], t, degree)
         if len(k) > n:  # the last step reaches up to the next block's first key
             i, j, coef, centre, scale, _ = segs[-1]
             err = fitting.staircase_error(k, v, i, j, coef, centre, scale)
@@ -58,7 +72,7 @@ def build(table: DataFrame, method: str = "poly", t: float = 100.0, degree: int
                 segs[-1] = (i, j, coef, centre, scale, err)
         return _rows(segs, part, v)
 
-    return _by_block(source, fit, block)
+    return _by_block(source, fit, block, max(1, TOGETHER // block) if method in fitting.TOGETHER else 1)
 
 
 def _split_tail(k: np.ndarray, v: np.ndarray, coef: np.ndarray, centre: float, scale: float) -> list[fitting.Segment]:
@@ -71,12 +85,12 @@ def _split_tail(k: np.ndarray, v: np.ndarray, coef: np.ndarray, centre: float, s
 def build_max(rows: DataFrame, t: float = 100.0, degree: int = 1, block: int = BLOCK) -> DataFrame:
     """Segments of a raw measure: rows of (key, rank, v), one a distinct key with its largest value."""
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part[~part.guest]
-        k, v = part.key.to_numpy(), part.v.to_numpy()
-        return _rows(fitting.measure_segments(k, v, t, degree), part, v)
+    def fit(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        parts = [p[~p.guest] for p in parts]
+        found = fitting.measure_many([p.key.to_numpy() for p in parts], [p.v.to_numpy() for p in parts], t, degree)
+        return [_rows(segs, p, p.v.to_numpy()) for p, segs in zip(parts, found)]
 
-    return _by_block(rows, fit, block)
+    return _by_block(rows, fit, block, 1 if degree == 1 else max(1, TOGETHER // block))
 
 
 def on_splits(table: DataFrame, splits: DataFrame, degree: int = 1, measure: str = "f") -> DataFrame:

@@ -94,3 +94,38 @@ def test_maxima_with_negative_measures(degree, values):
         x = np.linspace(k[i], k[j - 1], 50)
         top = np.polynomial.polynomial.polyval((x - centre) / scale, coef).max()
         assert top <= v[i:j].max() + err + 1e-6
+
+
+@pytest.mark.parametrize("degree", [2, 3, 4])
+def test_maxima_of_blocks_fitted_in_step(monkeypatch, degree):
+    rng = np.random.default_rng(degree)
+    sizes = (1, 2, 50, 300, 301)
+    blocks = [(np.cumsum(rng.exponential(1, n)), rng.uniform(0, 490, n)) for n in sizes] + [(np.arange(700.0), np.sin(np.arange(700.0) / 90) * 400)]
+    calls, fits = [], fitting._measure_fits
+    monkeypatch.setattr(fitting, "_measure_fits", lambda *a: calls.append(len(a[2])) or fits(*a))
+    together = fitting.measure_many([k for k, _ in blocks], [v for _, v in blocks], 50.0, degree)
+    shared = len(calls)
+    for (k, v), segs in zip(blocks, together):
+        alone = fitting.measure_segments(k, v, 50.0, degree)
+        assert [s[:2] for s in segs] == [s[:2] for s in alone] and segs[-1][1] == len(k)
+        for i, j, coef, centre, scale, err in segs:
+            at = np.polynomial.polynomial.polyval
+            assert err <= 50 and np.abs(at((k[i:j] - centre) / scale, coef) - v[i:j]).max() <= err + 1e-9
+            for a in range(i, j - 1):
+                x = np.linspace(k[a], k[a + 1], 30)
+                assert at((x - centre) / scale, coef).max() <= max(v[a], v[a + 1]) + err + 1e-6
+    assert len(together[-1]) <= 12 and max(calls) > 3 and shared < (len(calls) - shared) * 0.7
+
+
+def test_sliding_buffers_of_blocks_merged_in_step(monkeypatch):
+    rng = np.random.default_rng(5)
+    blocks = [(np.cumsum(rng.exponential(1, n)), np.cumsum(rng.integers(1, 30, n)).astype(float)) for n in (1, 2, 59, 60, 61, 400)]
+    for t in (5.0, 40.0, 1e6):
+        for (k, f), segs in zip(blocks, fitting.sliding_many([k for k, _ in blocks], [f for _, f in blocks], t)):
+            check(segs, k, f, t)
+            i = 0
+            for a, b, coef, *_ in segs:  # the first segment that merging the buffer alone leaves, or a step less
+                end = min(len(k), i + 60)
+                _, j, want, *_ = fitting.bottom_up(k[i:end], f[i:end], t)[0]
+                assert a == i and b - i in (j, max(1, j - 1)) and np.allclose(coef, want)
+                i = b
