@@ -21,7 +21,7 @@ BLOCK = 8192
 #: Keys handed to Python at once, in whole blocks, where a fitter takes blocks in step.
 TOGETHER = 1 << 17
 #: Partitions that blocks are dealt into.
-PARTITIONS = 192
+PARTITIONS = 48
 SCHEMA = "key double, key_hi double, idx_lo long, idx_hi long, coef array<double>, centre double, scale double, loss double, seg_max double, n long"
 
 
